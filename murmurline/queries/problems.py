@@ -6,11 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurline.functions.engagement import engagement_amount
-from murmurline.operators import instants, late_counters
+from murmurline.operators import instants, late_counters, spikes
 from murmurline.operators.trailing_totals import daily_amounts, trailing_totals
 from murmurline.sources.tables import table
 
 
+BAR_FIELDS = {"close": spikes.PRICE, "adj_close": spikes.PRICE, "volume": spikes.COUNT}
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.implausible_readings(table(spark, sf_dir, "market_data"), "entity_id", "date", "ingested_at", BAR_FIELDS)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every impossible, wildly deviating or no longer updating reading of a bar."""
+    return _readings(spark, sf_dir).select(F.col("source_id").cast("int").alias("entity_id"), F.col("day").cast("string").alias("bar_date"), "field").distinct()
+
+
+def p1_readings_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many readings of each entity, field and kind are implausible."""
+    return _readings(spark, sf_dir).groupBy(F.col("source_id").alias("entity_id"), "field", "kind").agg(F.count("*").alias("readings"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one UTC instant (or trading day) of every usable record of the three raw feeds."""
     zones = table(spark, sf_dir, "feed_zones")
@@ -78,7 +95,7 @@ def p7_trailing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trailing(spark, sf_dir).select(F.col("entity_id").cast("int").alias("entity_id"), F.col("day").cast("string").alias("day"), *columns)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_day_totals": p3_day_totals, "p7_found": p7_found, "p7_trailing_totals": p7_trailing_totals}
+QUERIES = {"p1_found": p1_found, "p1_readings_by_kind": p1_readings_by_kind, "p2_found": p2_found, "p3_found": p3_found, "p3_day_totals": p3_day_totals, "p7_found": p7_found, "p7_trailing_totals": p7_trailing_totals}
 
 _FIRST = """
 WITH rows_ AS (
