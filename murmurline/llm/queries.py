@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import encoding_repair, score_fusion
+from murmurline.llm import encoding_repair, score_fusion, truncation
 from murmurline.sources.tables import table
 
 SCORES = {"mention_growth": 0.25, "sentiment_momentum": 0.25, "topic_velocity": 0.25, "engagement_growth": 0.25}
@@ -29,6 +29,26 @@ def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("group_id").cast("string").alias("day"), F.col("item_id").cast("int").alias("entity_id"), F.round("fused", 6).alias("fused"), F.col("used").cast("int").alias("used"), F.col("place").cast("long").alias("place"))
 
 
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables of texts as one collection: (id, source, text), ids and sources told apart by their table."""
+    rss = table(spark, sf_dir, "rss_raw").select(F.struct(F.lit("rss_raw").alias("origin"), F.col("record_id").alias("id")).alias("id"), F.concat(F.lit("rss_raw:"), F.col("source")).alias("source"), F.col("summary").alias("text"))
+    docs = table(spark, sf_dir, "source_docs").select(F.struct(F.lit("source_docs").alias("origin"), F.col("id").alias("id")).alias("id"), F.concat(F.lit("source_docs:"), F.col("source_id").cast("string")).alias("source"), F.col("raw_text").alias("text"))
+    return rss.unionByName(docs)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records whose text lost its end."""
+    cut = truncation.truncated_texts(_ends(spark, sf_dir), "id", "source", "text")
+    return cut.select("key.origin", F.col("key.id").cast("long").alias("record_id")).distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts of each feed or source lost their end."""
+    texts = _ends(spark, sf_dir)
+    rates = truncation.truncation_rates(texts, truncation.truncated_texts(texts, "id", "source", "text"), "source", "text")
+    return rates.select("source_id", "texts", "truncated", "share")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents garbled by a wrong decoding, and whether their text can be recovered."""
     garbled = encoding_repair.garbled_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -41,7 +61,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.filter("restorable").select(F.col("key").alias("doc_id"), "chain", F.col("restored").alias("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranking": p4_ranking, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p5_rates": p5_rates, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def _sql_inverse_normal(p: str) -> str:
