@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import encoding_repair, score_fusion, truncation
+from murmurline.llm import encoding_repair, nearest_vectors, score_fusion, truncation
 from murmurline.sources.tables import table
 
 SCORES = {"mention_growth": 0.25, "sentiment_momentum": 0.25, "topic_velocity": 0.25, "engagement_growth": 0.25}
@@ -49,6 +49,25 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("source_id", "texts", "truncated", "share")
 
 
+DIMENSIONS, NEIGHBOURS = 384, 3
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = nearest_vectors.usable_vectors(table(spark, sf_dir, "doc_vectors"), "document_id", "model", "vector", "embedded_at", DIMENSIONS)
+    return nearest_vectors.nearest_vectors(units, nearest_vectors.fit_indexes(units), NEIGHBOURS)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents of which one is among the other's 3 most similar, at a cosine of 0.8 or more."""
+    pairs = nearest_vectors.similar_pairs(_neighbours(spark, sf_dir), 0.8)
+    return pairs.select(F.col("group_id").alias("model"), F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3 most similar documents of every document under each model."""
+    return _neighbours(spark, sf_dir).select(F.col("group_id").alias("model"), F.col("id").alias("document_id"), "neighbour", F.round("similarity", 4).alias("similarity"), "place")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents garbled by a wrong decoding, and whether their text can be recovered."""
     garbled = encoding_repair.garbled_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -61,7 +80,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.filter("restorable").select(F.col("key").alias("doc_id"), "chain", F.col("restored").alias("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p5_rates": p5_rates, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def _sql_inverse_normal(p: str) -> str:
