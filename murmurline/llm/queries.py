@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import encoding_repair, nearest_vectors, score_fusion, truncation
+from murmurline.llm import encoding_repair, mixing, nearest_vectors, packing, score_fusion, tokens, truncation
 from murmurline.sources.tables import table
 
 SCORES = {"mention_growth": 0.25, "sentiment_momentum": 0.25, "topic_velocity": 0.25, "engagement_growth": 0.25}
@@ -68,6 +68,45 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select(F.col("group_id").alias("model"), F.col("id").alias("document_id"), "neighbour", F.round("similarity", 4).alias("similarity"), "place")
 
 
+def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return tokens.with_token_counts(documents, {"id": F.col("doc_id").cast("long"), "source": F.col("source"), "lang": F.col("lang")}, "text")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_texts(_token_sizes(spark, sf_dir).select("id", "tokens"), table(spark, sf_dir, "pack_capacities"))
+
+
+def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pack of every document, or of each part of one that alone exceeds the capacity."""
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many packs of each capacity are used and how full they are."""
+    return packing.pack_report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
+
+
+# Domains of the document sources, the first level of the mixing tree.
+DOMAINS = {
+    "wire_story": "news", "newsletter": "news", "press_release": "news",
+    "analyst_note": "research", "earnings_call": "research", "filing_note": "research",
+    "forum_post": "social", "hn_thread": "social", "glossary": "reference",
+}
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    selection, _ = mixing.mixed_selection(_token_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), DOMAINS)
+    return selection.withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target and actual share of each source."""
+    _, report = mixing.mixed_selection(_token_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), DOMAINS)
+    return report
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents garbled by a wrong decoding, and whether their text can be recovered."""
     garbled = encoding_repair.garbled_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -80,7 +119,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.filter("restorable").select(F.col("key").alias("doc_id"), "chain", F.col("restored").alias("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p8_packs": p8_packs, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def _sql_inverse_normal(p: str) -> str:
