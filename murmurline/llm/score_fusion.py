@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from murmurline.functions.ranks import places, value_ranks
 
 # The rational approximations of the inverse normal distribution in algorithm AS 241 (PPND16).
 CENTRE_TOP = (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3)
@@ -47,31 +48,14 @@ def inverse_normal(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, CENTRE_TOP, CENTRE_BOTTOM)).when(q < 0, -tail).otherwise(tail)
 
 
-def _bucket(value: Column) -> Column:
-    """A number that never falls as ``value`` grows: sign, exponent and the leading ``1/2**7`` of the fraction.
-
-    Values of one bucket differ by less than 1 %; only the logarithm's whole part and a quotient are used.
-    """
-    size = F.abs(value)
-    exponent = F.when(size == 0, -1075).when(size == float("inf"), 1025).otherwise(F.floor(F.log2(size)))
-    step = F.when((size == 0) | (size == float("inf")), 0).otherwise(F.least(F.greatest(F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 128), F.lit(-64)), F.lit(191)))
-    code = (exponent + 1100) * 256 + step + 64
-    return F.when(value < 0, -code).otherwise(code).cast("long")
-
-
 def percentile_ranks(long: DataFrame, group: list[str]) -> DataFrame:
     """Adds ``percentile`` of ``value`` within ``group``: (average rank - 0.5) / count, strictly inside 0 and 1.
 
     ``long`` has no NULL values.
     """
-    counted = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("held")).withColumn("bucket", _bucket(F.col("value")))
-    buckets = counted.groupBy(*group, "bucket").agg(F.sum("held").alias("in_bucket"))
-    by_group = Window.partitionBy(*group)
-    offsets = buckets.select(*group, "bucket", (F.sum("in_bucket").over(by_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("in_bucket")).alias("below"), F.sum("in_bucket").over(by_group).alias("total"))
-    inside = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("upto", F.sum("held").over(inside)).join(offsets, [*group, "bucket"])
-    percentile = (F.col("below") + F.col("upto") - F.col("held") / 2.0) / F.col("total")
-    return long.join(ranked.select(*group, "value", percentile.alias("percentile")), [*group, "value"])
+    ranks = value_ranks(long, group)
+    percentile = (F.col("below") + F.col("held") / 2.0) / F.col("total")
+    return long.join(ranks.select(*group, "value", percentile.alias("percentile")), [*group, "value"])
 
 
 def fused_scores(df: DataFrame, group: str, item: str, scores: dict[str, float]) -> DataFrame:
@@ -102,14 +86,5 @@ def best_of_groups(fused: DataFrame) -> DataFrame:
 
 
 def ranking(fused: DataFrame) -> DataFrame:
-    """Adds ``place``: 1 for the highest fused score of the group, NULL scores last, equal ones by item.
-
-    As with the percentiles, places come from buckets of the fused score and their histogram.
-    """
-    item = F.col("item_id")
-    known = fused.withColumn("bucket", F.when(F.col("fused").isNull(), F.lit(2**40)).otherwise(-F.floor(F.col("fused") * 4096).cast("long")))
-    buckets = known.groupBy("group_id", "bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
-    above = buckets.select("group_id", "bucket", (F.sum("in_bucket").over(Window.partitionBy("group_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("in_bucket")).alias("above"))
-    order = Window.partitionBy("group_id", "bucket").orderBy(F.col("fused").desc_nulls_last(), item)
-    placed = known.withColumn("inside", F.row_number().over(order)).join(above, ["group_id", "bucket"])
-    return placed.select("group_id", "item_id", "fused", "used", (F.col("above") + F.col("inside")).alias("place"))
+    """Adds ``place``: 1 for the highest fused score of the group, NULL scores last, equal ones by item."""
+    return places(fused, "group_id", "item_id", "fused")
