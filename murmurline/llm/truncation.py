@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from murmurline.functions.plan import pinned
+from murmurline.session import cut_lineage
 
 BREAK = "\u0003"  # stands for a line break, which ends a sentence
 TERMINAL = rf"[.!?{BREAK}][\"”»)'’]*$"
 STRIP = r"^[\p{P}\s\x{3}]+|[\p{P}\s\x{3}]+$"
 DOTS = r"(…|\.{3})\s*$"
+SENTENCE_GAP = rf"(?<=[.!?{BREAK}][\"”»)]{{0,2}}) "
+TAIL = "\u0004"
 OPEN = r"[,;:–—\-(\[“„«&/]$"
 
 
@@ -43,14 +46,14 @@ def _bare(word: Column) -> Column:
 
 
 def _alike(tail: Column) -> Column:
-    """Words of a tail without punctuation; names and codes become one symbol."""
-    words = F.filter(F.split(tail, " "), lambda w: F.length(_bare(w)) > 0)
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^\P{L}*\p{Lu}"), F.lit("X")).otherwise(_bare(w))), " ")
+    """The words of a tail without punctuation; names and codes become one symbol."""
+    named = F.regexp_replace(tail, r"(?<![^ ])[^\p{L} ]*\p{Lu}[^ ]*", "X")
+    return F.trim(F.regexp_replace(named, r"(?<![^ ])[\p{P}\x{3}]+|[\p{P}\x{3}]+(?![^ ])", ""))
 
 
 def _field_limits(texts: DataFrame, least: int = 3) -> DataFrame:
     """(source_id, unit, field_limit, marks): where a source's lengths pile up and end, if they do, and whether it marks cuts there."""
-    dots = F.col("text").rlike(DOTS)
+    dots = F.substring("text", -8, 8).rlike(DOTS)
     sizes = texts.select("source_id", dots.alias("dots"), F.inline(F.array(F.struct(F.lit("chars").alias("unit"), F.char_length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))))
     counts = sizes.groupBy("source_id", "unit", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("dots").alias("dotted"))
     by_unit = Window.partitionBy("source_id", "unit")
@@ -71,50 +74,48 @@ def truncated_texts(df: DataFrame, key: str, source: str, text: str) -> DataFram
     """
     texts = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source_id"), F.col(text).alias("text")).filter(F.length(F.trim(F.col("text"))) > 0)
     limits = _field_limits(texts)
-    tail = F.regexp_replace(F.substring(F.col("text"), -400, 400), r"\s+$", "")
-    ends = texts.join(limits, texts["source_id"].eqNullSafe(limits["limit_source"]), "left")
-    away = F.when(F.col("unit") == "chars", F.col("field_limit") - F.char_length("text")).otherwise(F.col("field_limit") - F.octet_length("text"))
-    ends = pinned(ends.select("key", "source_id", "text", "unit", "marks", away.alias("away")), ["key", "source_id", "unit", "marks", "away"], {"tail": tail, "blank": F.col("text").rlike(r"\s$")})
-
-    mark = F.col("tail").rlike(r"(\[(\.{3}|…)\]|\((\.{3}|…)\))$")
-    lost = F.col("tail").rlike("�[\"”»)]?$")
-    dots, marks = F.col("tail").rlike(DOTS), F.coalesce("marks", F.lit(False))
-    body = F.regexp_replace("tail", r"\s*(…|\.{3})$", "")
+    # Only the end travels to its source's limit: the last words, and the length of the whole text.
+    tail = F.rtrim(F.translate(F.substring("text", -400, 400), "\t\r\u00a0", "   "))
+    short = texts.select("key", "source_id", tail.alias("tail"), F.substring("text", -1, 1).rlike(r"\s").alias("blank"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    ends = short.join(limits, short["source_id"].eqNullSafe(limits["limit_source"]), "left")
+    away = F.when(F.col("unit") == "chars", F.col("field_limit") - F.col("chars")).otherwise(F.col("field_limit") - F.col("bytes"))
+    ends = pinned(ends, ["key", "source_id", "unit", "marks", "tail", "blank"], {"away": away, "tip": F.regexp_replace(F.substring("tail", -120, 120), r"[\n ]+$", "")})
+
+    mark = F.col("tip").rlike(r"(\[(\.{3}|…)\]|\((\.{3}|…)\))$")
+    lost = F.col("tip").rlike("�[\"”»)]?$")
+    dots, marks = F.col("tip").rlike(DOTS), F.coalesce("marks", F.lit(False))
+    body = F.when(dots, F.regexp_replace("tail", r"[\s]{0,3}(…|\.{3})\s*$", "")).otherwise(F.col("tail"))
     exact = ~marks & F.coalesce(F.when(F.col("unit") == "chars", F.col("away") == 0).otherwise(F.col("away").between(-2, 3)), F.lit(False))
     near = marks & F.coalesce(F.col("away").between(-2, 3), F.lit(False))
-    ended = ~dots & F.col("tail").rlike(r"[.!?][\"”»)'’]*$")
-    linked = F.col("tail").rlike(r"(\([^()]*https?://[^\s/()]+/[^\s()]+\)|(^|[^(\S])https?://[^\s/()]+/[^\s()]+)$")
+    ended = ~dots & F.col("tip").rlike(r"[.!?][\"”»)'’]*$")
+    linked = F.col("tip").rlike(r"(\([^()]*https?://[^\s/()]+/[^\s()]+\)|(^|[^(\S])https?://[^\s/()]+/[^\s()]+)$")
     verdict = (
         F.when(mark, "mark").when(lost, "byte").when(dots & near, "mark").when(ended, F.when(exact & F.col("blank"), "limit").otherwise("complete"))
         .when(linked, "complete").when(exact, "limit")
     )
-    judged = pinned(ends, ["key", "source_id"], {"verdict": verdict, "dots": dots, "words": _words(body), "body": body})
-    sure = judged.filter(F.col("verdict").isNotNull() & (F.col("verdict") != "complete")).select("key", "source_id", F.col("verdict").alias("evidence"))
-
+    judged = pinned(ends, ["key", "source_id"], {"verdict": verdict, "dots": dots, "words": F.when(verdict.isNull(), _words(body)), "gaping": F.substring(body, -4, 4).rlike(OPEN)})
     # What is left is looked up: in the trie by its last word, among sentence endings by its last words.
-    sentence = F.element_at(F.split("words", rf"(?<=[.!?{BREAK}][\"”»)]{{0,2}}) "), -1)
-    open_ends = pinned(judged.filter("verdict IS NULL"), ["key", "source_id", "dots"], {"word": _bare(F.element_at(F.split("words", " "), -1)), "ending5": _alike(F.substring_index(sentence, " ", -5)), "ending4": _alike(F.substring_index(sentence, " ", -4)), "gaping": F.col("body").rlike(OPEN)})
+    sentence = F.element_at(F.split("words", SENTENCE_GAP), -1)
+    ends_left = judged.filter("verdict IS NULL OR verdict <> 'complete'")
+    open_ends = cut_lineage(ends_left.select("key", "source_id", "verdict", "dots", "gaping", _bare(F.element_at(F.split("words", " "), -1)).alias("word"), _alike(F.substring_index(sentence, " ", -4)).alias("ending")))
 
     vocabulary, endings = corpus_counts(texts)
     # The trie: each prefix of a known word with the uses of all words below it; only nodes that are asked for travel on.
     known = vocabulary.filter((F.col("inside") >= 2) & (F.length("word") > 1))
     nodes = known.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("node"), "inside")
-    asked = open_ends.groupBy("word").agg(F.count_if(~F.col("dots")).alias("last"))
+    asked = open_ends.filter("verdict IS NULL").groupBy("word").agg(F.count_if(~F.col("dots")).alias("last"))
     trie = nodes.groupBy("node").agg(F.sum("inside").alias("below"))
     words = asked.join(vocabulary, "word", "left").join(trie, F.col("word") == F.col("node"), "left").select("word", "last", "inside", "final", "below")
-    looked = (
-        open_ends.join(words, "word", "left")
-        .join(endings.select(F.col("ending").alias("ending5"), F.col("n").alias("n5")), "ending5", "left")
-        .join(endings.select(F.col("ending").alias("ending4"), F.col("n").alias("n4")), "ending4", "left")
-    )
+    looked = open_ends.join(words, "word", "left").join(endings, "ending", "left")
     count = lambda name: F.coalesce(F.col(name), F.lit(0))
     # Unknown: hardly ever followed by more text, and ending texts only as often as cuts through the words below it explain.
     cut_word = (count("below") > 0) & (count("inside") < 2 + count("below") * 1e-5) & (count("last") < 2 + 0.02 * count("below"))
     closing = (count("final") + count("last")) / F.greatest(count("inside") + count("last"), F.lit(1))
-    long_enough = (F.size(F.split("ending5", " ")) >= 3) | (closing >= 0.1)
-    at_home = ((F.greatest(count("n5"), F.when(count("n4") >= 8, count("n4"))) >= 3) & long_enough) | (closing >= 0.3)
-    evidence = F.when(F.length("word") == 0, F.when(F.col("gaping"), "sentence")).when(cut_word, "word").when(F.col("dots"), F.lit(None)).when(F.col("gaping") | ~at_home, "sentence")
-    return sure.unionByName(looked.select("key", "source_id", evidence.alias("evidence")).filter("evidence IS NOT NULL"))
+    long_enough = (F.size(F.split("ending", " ")) >= 3) | (closing >= 0.1)
+    at_home = ((count("n") >= 3) & long_enough) | (closing >= 0.3)
+    looked_up = F.when(F.length("word") == 0, F.when(F.col("gaping"), "sentence")).when(cut_word, "word").when(F.col("dots"), F.lit(None)).when(F.col("gaping") | ~at_home, "sentence")
+    evidence = F.coalesce("verdict", looked_up)
+    return looked.select("key", "source_id", evidence.alias("evidence")).filter("evidence IS NOT NULL")
 
 
 def corpus_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,15 +124,20 @@ def corpus_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``inside`` counts a word except as the last of a text without final punctuation, ``final`` those of
     them that end a sentence.
     """
-    spaced = texts.select(_words(F.col("text")).alias("t"))
-    split = spaced.select(F.split("t", " ").alias("w"), (F.col("t").rlike(TERMINAL) & ~F.col("t").rlike(r"\.{3}$")).alias("ended"))
-    inner = split.select(F.explode(F.when(F.col("ended"), F.col("w")).otherwise(F.slice("w", 1, F.size("w") - 1))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
-    counted = inner.select(_bare(F.col("raw")).alias("word"), F.col("n").alias("inside"), F.when(F.col("raw").rlike(TERMINAL), F.col("n")).otherwise(0).alias("final"))
+    spaced = pinned(texts.select(_words(F.col("text")).alias("t")), ["t"], {"ended": F.col("t").rlike(TERMINAL) & ~F.col("t").rlike(r"\.{3}$")})
+    w = F.split("t", " ")
+    inner = F.when(F.col("ended"), w).otherwise(F.slice(w, F.lit(1), F.size(w) - 1))
+    pieces = F.split("t", SENTENCE_GAP)
+    finished = F.when(F.col("ended"), pieces).otherwise(F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+    tails = F.transform(finished, lambda s: F.concat(F.lit(TAIL), F.substring_index(s, " ", -4)))
+    # Words and tails are counted in one pass; the tails carry a mark in front.
+    # The counts are kept, or each reader's filter would be pushed below them and count everything again.
+    counts = cut_lineage(spaced.select(F.explode(F.concat(inner, tails)).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n")))
+    is_tail = F.col("raw").startswith(TAIL)
+    counted = counts.filter(~is_tail).select(_bare(F.col("raw")).alias("word"), F.col("n").alias("inside"), F.when(F.col("raw").rlike(TERMINAL), F.col("n")).otherwise(0).alias("final"))
     vocabulary = counted.filter(F.length("word") > 0).groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("final").alias("final"))
-    pieces = F.filter(F.split("t", rf"(?<=[.!?{BREAK}][\"”»)]{{0,2}}) "), lambda s: s.rlike(TERMINAL) & ~s.rlike(r"\.{3}$"))
-    tails = spaced.select(F.explode(F.transform(pieces, lambda s: F.substring_index(s, " ", -5))).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
-    both = tails.select(F.inline(F.array_distinct(F.array(F.struct(_alike(F.col("tail")).alias("ending"), "n"), F.struct(_alike(F.substring_index("tail", " ", -4)).alias("ending"), "n")))))
-    return vocabulary, both.groupBy("ending").agg(F.sum("n").alias("n"))
+    endings = counts.filter(is_tail).select(_alike(F.substring("raw", 2, 4000)).alias("ending"), "n").groupBy("ending").agg(F.sum("n").alias("n"))
+    return vocabulary, endings
 
 
 def truncation_rates(df: DataFrame, found: DataFrame, source: str, text: str) -> DataFrame:
