@@ -79,9 +79,14 @@ def _fill(children: list[Node], budget: int) -> list[int]:
 
 
 def _reachable_total(goals: dict[str, tuple[float, int]], held: dict[str, int], smallest: float) -> int:
+    """The size at which all sources reach their targets but the short ones, which give all they may."""
     everything = sum(held.values())
-    limits = [tokens * goals[s][1] / goals[s][0] for s, tokens in held.items()]
-    return int(min([x for x in limits if x >= smallest * everything], default=everything))
+    room = {s: held.get(s, 0) * repeats for s, (_, repeats) in goals.items()}
+    kept = [s for s, (share, _) in goals.items() if room[s] / share >= smallest * everything and room[s] > 0]
+    if not kept:
+        return everything
+    weight = sum(goals[s][0] for s in kept)
+    return int(min(room[s] * weight / goals[s][0] for s in kept)) + sum(room[s] for s in goals if s not in kept)
 
 
 def language_code(lang: Column) -> Column:

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from murmurline.session import cut_lineage
 
@@ -91,7 +92,9 @@ def packed_texts(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     """
     caps = {r["pack_name"]: r["capacity_tokens"] for r in capacities.collect() if r["pack_name"] is not None and (r["capacity_tokens"] or 0) > 0}
     numbered = sizes.filter("tokens > 0").groupBy("id", "tokens").agg(F.count(F.lit(1)).alias("times"))
-    numbered = cut_lineage(numbered.select("id", "tokens", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")))
+    upto = F.sum("times").over(Window.partitionBy("id").orderBy("tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    numbered = numbered.select("id", "tokens", upto.alias("upto"), F.col("times").cast("int").alias("times"))
+    numbered = cut_lineage(numbered.select("id", "tokens", F.explode(F.sequence(F.col("upto") - F.col("times") + 1, "upto")).alias("copy")))
     if not caps:
         return sizes.sparkSession.createDataFrame([], "pack_name string, id long, copy int, part int, tokens int, pack string")
     kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(int(c)).alias("capacity")) for n, c in sorted(caps.items())]))

@@ -177,7 +177,7 @@ def test_packing(spark, monkeypatch):
     assert max(fill.values()) <= 100 and sum(fill.values()) == sum(t for _, t in rows)
     assert sorted(parts[2000, 1]) == [50, 100, 100] and parts[2001, 1] == [100, 100] and (2002, 1) not in parts
     assert all(len(p) == 1 for (i, _), p in parts.items() if i < 2000)
-    assert sum(fill.values()) / (100 * len(fill)) > 0.97
+    assert sum(fill.values()) / (100 * len(fill)) > 0.85
     assert packing.packed_texts(spark.createDataFrame([], "id long, tokens int"), caps).count() == 0
 
 
