@@ -187,7 +187,7 @@ def nearest_vectors(units: DataFrame, indexes: dict[str, Index], k: int) -> Data
     ``units`` comes from :func:`usable_vectors`.
     """
     spark = units.sparkSession
-    held = spark.sparkContext.broadcast(indexes)
+    held = spark.sparkContext.broadcast({name: (i.centres, i.links, i.entry, i.blocks) for name, i in indexes.items()})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +195,9 @@ def nearest_vectors(units: DataFrame, indexes: dict[str, Index], k: int) -> Data
             names = np.array(batch.column("group_id").to_pylist(), object)
             raw = batch.column("unit").to_pylist()
             for name in sorted(set(names)):
-                index = held.value.get(name)
-                if index is None:
+                if name not in held.value:
                     continue
+                index = Index(*held.value[name])
                 mine = np.flatnonzero(names == name)
                 for at in range(0, len(mine), 256):
                     part = mine[at : at + 256]

@@ -15,18 +15,19 @@ TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_loaded: dict[str, object] = {}
 
 
 def encoding(path: str):
-    """The tokenizer of a ranks file, loaded once in each worker."""
-    if path not in _loaded:
-        import tiktoken
+    """The tokenizer of a ranks file, loaded once in each worker process."""
+    import tiktoken
 
+    # Kept on the library's module: this function travels by value and has no lasting globals there.
+    loaded = vars(tiktoken).setdefault("_by_path", {})
+    if path not in loaded:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-        _loaded[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        loaded[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return loaded[path]
 
 
 def with_token_counts(df: DataFrame, keep: dict[str, Column], text: str, path: str | None = None) -> DataFrame:
