@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.operators import panel, quality, resolution, upserts
+from murmurline.operators import panel, quality, recon, resolution, upserts
 from murmurline.params import SignalParams
 from murmurline.schemas import TABLES
+from murmurline.sources.plugin import CredentialsMissing
 from murmurline.sources.sinks import append_log, overwrite_days, swap_table
 
 
@@ -73,3 +74,27 @@ def quality_stage(spark: SparkSession, folder: str, checks: list[DataFrame], now
     rows = quality.all_checks(*checks).withColumn("ran_at", F.lit(now).cast("timestamp"))
     append_log(rows, f"{folder}/data_quality_checks")
     return quality.any_failure(rows)
+
+
+def recon_stage(sources: dict[str, tuple[Callable[[], DataFrame], list[str], str | None]], now_epoch: float) -> list[dict]:
+    """Samples each candidate source: its status (ok, empty, needs_credentials, error), completeness, freshness.
+
+    ``sources`` maps a name to (fetch, required fields, epoch column or None).
+    """
+    rows = []
+    for name, (fetch, fields, epoch) in sources.items():
+        row = {"source": name, "status": "ok", "records": 0, "completeness": None, "freshness_hours": None, "note": None}
+        try:
+            df = fetch()
+            row["records"] = df.count()
+            if row["records"]:
+                row["completeness"] = round(recon.field_completeness(df, fields).agg(F.avg("completeness").alias("c")).first()["c"], 4)
+                row["freshness_hours"] = recon.freshness_hours(df, epoch, now_epoch).first()["freshness_hours"] if epoch else None
+            else:
+                row["status"] = "empty"
+        except CredentialsMissing as problem:
+            row |= {"status": "needs_credentials", "note": str(problem)}
+        except Exception as problem:  # noqa: BLE001 - a source's failure is a result
+            row |= {"status": "error", "note": str(problem)[:500]}
+        rows.append(row)
+    return rows
