@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from murmurline.functions.engagement import engagement_value
 from murmurline.functions.ranks import places, value_ranks
 from murmurline.params import SignalParams
+from murmurline.session import cut_lineage
 
 EXACT = "decimal(38,12)"
 COMPONENTS = ("mention_growth", "sentiment_momentum", "topic_velocity", "engagement_growth")
@@ -182,10 +183,14 @@ def build_panel(links: DataFrame, topic_rows: DataFrame, versions: DataFrame, en
 
 
 def ranked_panel(parts: DataFrame, params: SignalParams) -> DataFrame:
-    """Adds ``score`` and ``rank`` to components that are given by (entity_id, date)."""
+    """Adds ``score`` and ``rank`` to components that are given by (entity_id, date).
+
+    Components and scores are read several times each, so both are kept in the shared checkpoint folder.
+    """
+    parts = cut_lineage(parts)
     ranks = centred_ranks(parts, "date", "entity_id", list(COMPONENTS))
     scored = parts.join(ranks, ["date", "entity_id"]).withColumn("score", composite(params.weights))
-    placed = places(scored.withColumn("rounded", F.round("score", 9)), "date", "entity_id", "rounded")
+    placed = places(cut_lineage(scored.withColumn("rounded", F.round("score", 9))), "date", "entity_id", "rounded")
     return placed.select("entity_id", "date", *COMPONENTS, "score", F.when(F.col("score").isNotNull(), F.col("place")).cast("int").alias("rank"))
 
 
