@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmurline.functions.text import tokens
+from murmurline.session import cut_lineage
 
 
 def classes(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
@@ -28,7 +29,8 @@ def classes(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
 
 def similar_classes(members: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id_a, id_b, similarity), a < b: pairs of class representatives at ``threshold`` or more."""
-    reps = members.filter("id = class_id").select("id", "tokens", F.size("tokens").alias("n"))
+    # The sets are read for the prefixes and once for either side of the candidates.
+    reps = cut_lineage(members.filter("id = class_id").select("id", "tokens", F.size("tokens").alias("n")))
     words = reps.select("id", "n", F.explode("tokens").alias("token"))
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = words.join(frequency, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
