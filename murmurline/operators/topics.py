@@ -32,18 +32,20 @@ def kmeans_fit(vectors: DataFrame, topics: int = 8, least_similarity: float = 0.
     return scored.filter(best >= least_similarity).select("document_id", (F.array_position("s", best) - 1).cast("int").alias("topic_id"), (F.exp(best * 10.0) / total).alias("probability"))
 
 
-def class_keywords(documents: DataFrame, assignments: DataFrame, top: int = 10, stop: tuple[str, ...] = ("the", "a", "an", "and", "of", "to", "in", "for", "on", "by", "that", "is", "with")) -> DataFrame:
+def class_keywords(documents: DataFrame, assignments: DataFrame, top: int = 10, stop: tuple[str, ...] = ("the", "a", "an", "and", "of", "to", "in", "for", "on", "by", "that", "is", "with"), version: str | None = None) -> DataFrame:
     """(topic_id, keyword, weight, place): the ``top`` words of each topic by tf * ln(1 + A / f).
 
     ``documents`` has document_id and text; A is the mean number of words of a topic, f a word's count over all.
+    With ``version``, a column of ``assignments``, it comes first in the result and each version is weighed on its own.
     """
+    of = [version] if version else []
     words = documents.select("document_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}][\p{L}\p{N}_]+)"))).alias("keyword")).filter(~F.col("keyword").isin(*stop))
-    tf = words.join(assignments.select("document_id", "topic_id"), "document_id").groupBy("topic_id", "keyword").agg(F.count(F.lit(1)).alias("tf"))
-    f = tf.groupBy("keyword").agg(F.sum("tf").alias("f"))
-    size = tf.agg((F.sum("tf") / F.countDistinct("topic_id")).alias("mean")).withColumn("k", F.lit(1))
-    weight = tf.join(f, "keyword").withColumn("k", F.lit(1)).join(F.broadcast(size), "k").withColumn("weight", F.col("tf") * F.log1p(F.col("mean") / F.col("f")))  # one row
-    order = Window.partitionBy("topic_id").orderBy(F.round("weight", 9).desc(), "keyword")
-    return weight.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("topic_id", "keyword", "weight", "place")
+    tf = words.join(assignments.select("document_id", "topic_id", *of), "document_id").groupBy(*of, "topic_id", "keyword").agg(F.count(F.lit(1)).alias("tf"))
+    f = F.sum("tf").over(Window.partitionBy(*of, "keyword"))  # a row for each topic that has the word
+    size = tf.groupBy(*of).agg((F.sum("tf") / F.countDistinct("topic_id")).alias("mean")).withColumn("k", F.lit(1))
+    weight = tf.withColumn("f", f).withColumn("k", F.lit(1)).join(F.broadcast(size), [*of, "k"]).withColumn("weight", F.col("tf") * F.log1p(F.col("mean") / F.col("f")))  # one row a version
+    order = Window.partitionBy(*of, "topic_id").orderBy(F.round("weight", 9).desc(), "keyword")
+    return weight.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select(*of, "topic_id", "keyword", "weight", "place")
 
 
 def version_name(prefix: str, at: Column) -> Column:

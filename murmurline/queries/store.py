@@ -239,12 +239,19 @@ def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords of the first topic version's topics."""
+    """Keywords of the first topic version's topics; ``topic_keywords_by_version`` has those of all versions."""
     docs = table(spark, sf_dir, "source_docs").select(F.col("id").alias("document_id"), _text().alias("text"))
     rows = table(spark, sf_dir, "topic_rows").filter("topic_id <= 40").select("document_id", "topic_id").distinct()
     return topics.class_keywords(docs, rows).select("topic_id", "keyword", F.round("weight", 6).alias("weight"), "place")
 
 
+def topic_keywords_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of the topics of every version, each version weighed on its own."""
+    docs = table(spark, sf_dir, "source_docs").select(F.col("id").alias("document_id"), _text().alias("text"))
+    rows = table(spark, sf_dir, "topic_rows").select("document_id", "topic_id", "version").distinct()
+    return topics.class_keywords(docs, rows, version="version").select("version", "topic_id", "keyword", F.round("weight", 6).alias("weight"), "place")
+
+
 def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A k-means topic fit on the stored vectors of the first model."""
     v = table(spark, sf_dir, "doc_vectors").filter("model = 'pocket-embed-384' AND size(vector) = 384")
@@ -259,7 +266,7 @@ _NAMES = (
     content_hash_dedup, insert_if_absent, upsert_last_wins, bars_restatement, latest_per_key, near_duplicate_classes, near_duplicates_of_documents, duplicate_rate, resolve_links,
     resolver_precision_recall, keyword_sentiment, sentiment_macro_f1, freshness, volume_anomaly, resolution_coverage, enrichment_coverage, panel_freshness, quality_report,
     field_completeness, monthly_volume, html_clean, rss_first_of_links, rss_documents, hn_documents, bars_of_entities, unknown_tickers, engagement_values, iso_dates,
-    recent_documents, orphans, forward_return, rank_ic, topic_keywords, topic_kmeans,
+    recent_documents, orphans, forward_return, rank_ic, topic_keywords, topic_keywords_by_version, topic_kmeans,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -356,4 +363,9 @@ ORACLES = {
       tf AS (SELECT topic_id, keyword, count(*) AS tf FROM w JOIN a USING (document_id) WHERE keyword NOT IN ('the', 'a', 'an', 'and', 'of', 'to', 'in', 'for', 'on', 'by', 'that', 'is', 'with') GROUP BY ALL),
       x AS (SELECT *, tf * ln(1 + (SELECT sum(tf) / CAST(count(DISTINCT topic_id) AS DOUBLE) FROM tf) / sum(tf) OVER (PARTITION BY keyword)) AS weight FROM tf)
       SELECT topic_id, keyword, round(weight, 6) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, keyword) AS INTEGER) AS place FROM x) WHERE place <= 10""",
+    "topic_keywords_by_version": """WITH w AS (SELECT id AS document_id, unnest(regexp_extract_all(lower(concat_ws(chr(10), nullif(title, ''), nullif(raw_text, ''))), '[\\p{L}][\\p{L}\\p{N}_]+')) AS keyword FROM source_docs),
+      a AS (SELECT DISTINCT document_id, topic_id, version FROM topic_rows),
+      tf AS (SELECT version, topic_id, keyword, count(*) AS tf FROM w JOIN a USING (document_id) WHERE keyword NOT IN ('the', 'a', 'an', 'and', 'of', 'to', 'in', 'for', 'on', 'by', 'that', 'is', 'with') GROUP BY ALL),
+      x AS (SELECT *, tf * ln(1 + sum(tf) OVER (PARTITION BY version) / CAST(topics AS DOUBLE) / sum(tf) OVER (PARTITION BY version, keyword)) AS weight FROM tf JOIN (SELECT version, count(DISTINCT topic_id) AS topics FROM tf GROUP BY version) USING (version))
+      SELECT version, topic_id, keyword, round(weight, 6) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY version, topic_id ORDER BY round(weight, 9) DESC, keyword) AS INTEGER) AS place FROM x) WHERE place <= 10""",
 }

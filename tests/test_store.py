@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from murmurline.functions import text as T
 from murmurline.operators import enrich, near_duplicates, quality, recon, resolution, topics, upserts, validation
+from murmurline.queries import store
 from murmurline.sources import plugin, raw, sinks
 from murmurline.streaming import ingest, late_counts
 
@@ -169,6 +170,20 @@ def test_enrichment_and_topics(spark):
     assert len(set(fit.values())) == 2 and len({fit[i] for i in range(1, 60, 2)}) == 1
 
 
+def test_keywords_of_each_version_stand_alone(spark):
+    docs = spark.createDataFrame([(1, "alpha alpha beta"), (2, "beta gamma"), (3, "delta")], "document_id long, text string")
+    old, new = [(1, 1, "v1"), (2, 2, "v1")], [(2, 3, "v2"), (3, 4, "v2"), (1, 4, "v2")]
+    rows = lambda x: spark.createDataFrame(x, "document_id long, topic_id int, version string")
+    got = {(r.version, r.topic_id, r.keyword, round(r.weight, 9), r.place) for r in topics.class_keywords(docs, rows(old + new), version="version").collect()}
+    alone = {(v, r.topic_id, r.keyword, round(r.weight, 9), r.place) for v, x in (("v1", old), ("v2", new)) for r in topics.class_keywords(docs, rows(x)).collect()}
+    assert got == alone and {t for _, t, *_ in got} == {1, 2, 3, 4}
+
+
+def test_keywords_query_covers_every_topic(spark, tiny):
+    got = {(r.version, r.topic_id) for r in store.topic_keywords_by_version(spark, tiny).collect()}
+    assert got == {(r.version, r.topic_id) for r in spark.read.parquet(f"{tiny}/topic_rows.parquet").collect()}
+
+
 def test_rank_correlation(spark):
     df = spark.createDataFrame([("d", i, float(i), float(-i)) for i in range(5)] + [("e", 1, 1.0, 2.0)], "date string, entity_id int, a double, b double")
     got = {r.date: r.ic for r in validation.rank_correlation(df, "date", "entity_id", "a", "b").collect()}
