@@ -49,9 +49,35 @@ def document_text(title: Column, body: Column, joint: str = "\n") -> Column:
     return F.concat_ws(joint, F.nullif(title, F.lit("")), F.nullif(body, F.lit("")))
 
 
+#: Year, dash, month and day, or week and its day; then any one character and hour, colon, minute, second, fraction; then
+#: sign, hours, minutes and seconds of the offset.  Colons and dashes are in all places of a part or in none.
+_ISO = (
+    r"(?s)\A((?!0000)[0-9]{4})(-?)(?:([0-9]{2})\2([0-9]{2})|W([0-9]{2})(?:\2([1-7]))?)"
+    r"(?:.([01][0-9]|2[0-3])(?:(:?)([0-5][0-9])(?:\8([0-5][0-9])(?:[.,]([0-9]+))?)?)?"
+    r"(?:([+-])([01][0-9]|2[0-3])(?:(:?)([0-5][0-9])(?:\14([0-5][0-9])(?:[.,][0-9]+)?)?)?)?)?\z"
+)
+
+
 def parse_utc(text: Column) -> Column:
-    """ISO timestamps as instants, without a zone in UTC; anything else is NULL (needs a UTC session)."""
-    return F.nullif(F.trim(text), F.lit("")).try_cast("timestamp")
+    """ISO 8601 timestamps as instants, without a zone in UTC, finer digits than microseconds dropped; anything else is NULL.
+
+    That includes malformed text which Python's ``fromisoformat`` happens to let through, such as ``10:00:00T+02:00``.
+    """
+    value = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+    parts = F.when(value.rlike(_ISO), F.split(F.regexp_replace(value, _ISO, "|".join(f"${n}" for n in (1, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13, 15, 16))), r"\|"))
+
+    def instant(p: Column) -> Column:
+        number = lambda i, least=0: F.coalesce(F.nullif(p[i], F.lit("")).cast("int"), F.lit(least))
+        monday = F.date_sub(F.make_date(number(0), F.lit(1), F.lit(4)), F.weekday(F.make_date(number(0), F.lit(1), F.lit(4))))
+        week = F.date_add(monday, (number(3) - 1) * 7)
+        by_week = F.when((number(3) > 0) & (F.year(F.date_add(week, 3)) == number(0)), F.date_add(week, number(4, 1) - 1))
+        by_month = F.to_date(F.try_to_timestamp(F.concat_ws("-", p[0], p[1], p[2]), F.lit("yyyy-MM-dd")))
+        day = F.unix_date(F.when(p[3] != "", by_week).otherwise(by_month)).cast("long")
+        seconds = day * 86400 + number(5) * 3600 + number(6) * 60 + number(7)
+        offset = (number(10) * 3600 + number(11) * 60 + number(12)) * F.when(p[9] == "-", -1).otherwise(1)
+        return F.timestamp_micros((seconds - offset) * 1_000_000 + F.rpad(F.substring(p[8], 1, 6), 6, "0").cast("long"))
+
+    return F.transform(F.array(parts), instant)[0]
 
 
 def finite(value: Column) -> Column:

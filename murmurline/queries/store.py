@@ -205,11 +205,16 @@ def engagement_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published dates that are plain ISO timestamps, as UTC seconds."""
+    """The published dates that are plain ISO timestamps, as UTC seconds; ``published_instants`` has every record."""
     dates = table(spark, sf_dir, "rss_raw").filter(F.col("published_date").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$"))
     return dates.select("record_id", F.unix_seconds(parse_utc(F.col("published_date"))).alias("epoch"))
 
 
+def published_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's published date as UTC microseconds, NULL where it is no ISO timestamp."""
+    return table(spark, sf_dir, "rss_raw").select("record_id", F.unix_micros(parse_utc(F.col("published_date"))).alias("epoch_us"))
+
+
 def recent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thousand most recent documents: a top-k report."""
     return table(spark, sf_dir, "source_docs").select("id", "source_id").orderBy(F.col("id").desc()).limit(1000)
@@ -265,7 +270,7 @@ def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     content_hash_dedup, insert_if_absent, upsert_last_wins, bars_restatement, latest_per_key, near_duplicate_classes, near_duplicates_of_documents, duplicate_rate, resolve_links,
     resolver_precision_recall, keyword_sentiment, sentiment_macro_f1, freshness, volume_anomaly, resolution_coverage, enrichment_coverage, panel_freshness, quality_report,
-    field_completeness, monthly_volume, html_clean, rss_first_of_links, rss_documents, hn_documents, bars_of_entities, unknown_tickers, engagement_values, iso_dates,
+    field_completeness, monthly_volume, html_clean, rss_first_of_links, rss_documents, hn_documents, bars_of_entities, unknown_tickers, engagement_values, iso_dates, published_instants,
     recent_documents, orphans, forward_return, rank_ic, topic_keywords, topic_keywords_by_version, topic_kmeans,
 )
 QUERIES = {f.__name__: f for f in _NAMES}

@@ -1,7 +1,7 @@
 """Text functions, keyed writes, resolution, quality ladders, recon bounds, sinks and streams."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +27,35 @@ def test_text_helpers(spark):
     assert got[0].s == "A &amp; b" and sorted(got[0].k) == ["5", "startup"] and [r.h for r in got] == ["08", None, "10"] and [r.x for r in got[1:]] == ["x", "x"]
 
 
+def iso_micros(value):
+    """The reference's parse_utc."""
+    try:
+        at = datetime.fromisoformat((value or "").replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return ((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+def test_iso_timestamps_against_brute_force(spark):
+    rng = random.Random(3)
+    values = [None, "", " ", "n/a", "2026", "2026-07", " 2026-07-03", "2026-07-03 ", "2025-02-29", "2026-W53-1", "2020-W53-7", "2020-W00-1", "2026-07-03T", "2026-07-03T24:00:01", "2026-07-03T10:00:60", "2026-07-03T10:00 UTC", "T10:00", "0000-01-01", "1772955145672", "2026-7-3", "2026-0703", "2026-07-03Z", "2026-07-03T10:00:00.5\n"]
+    for _ in range(1500):
+        dash, colon = rng.choice(["-", ""]), rng.choice([":", ""])
+        y, h = rng.choice([1969, 2020, 2024, 2026]), rng.randint(0, 24)
+        day = rng.choice([f"{y}{dash}{rng.randint(0, 13):02}{dash}{rng.randint(0, 32):02}", f"{y}{dash}W{rng.randint(0, 54):02}{dash}{rng.randint(1, 7)}", f"{y}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"])
+        time = f"{h:02}" + rng.choice(["", f"{colon}{rng.randint(0, 60):02}", f"{colon}{rng.randint(0, 59):02}{colon}{rng.randint(0, 60):02}" + rng.choice(["", f"{rng.choice('.,')}{rng.choice(['5', '012', '1234567', '999999999'])}"])])
+        zone = rng.choice(["", "Z", f"{rng.choice('+-')}{rng.randint(0, 24):02}" + rng.choice(["", f"{colon}{rng.randint(0, 59):02}", f"{colon}30{colon}{rng.randint(0, 59):02}"])])
+        values.append(day + rng.choice(["", rng.choice("T _") + time + zone]))
+    df = spark.createDataFrame(list(enumerate(values)), "i int, d string").select("i", F.unix_micros(T.parse_utc(F.col("d"))).alias("us"))
+    assert [(values[r.i], r.us, iso_micros(values[r.i])) for r in df.collect() if r.us != iso_micros(values[r.i])] == []
+
+
+def test_published_instants_has_every_record(spark, tiny):
+    want = {r.record_id: iso_micros(r.published_date) for r in spark.read.parquet(f"{tiny}/rss_raw.parquet").collect()}
+    got = {r.record_id: r.epoch_us for r in store.published_instants(spark, tiny).collect()}
+    assert got == want and None in want.values() and any(us % 10**6 for us in want.values() if us)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
     batch = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 2)], "k int, v string, t int")
