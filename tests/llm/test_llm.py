@@ -75,6 +75,23 @@ def test_encoding_round_trip_and_accuracy(spark):
     assert encoding_repair.garbled_texts(df.limit(0), "id", "text").count() == 0
 
 
+def test_single_byte_stretches_within_clean_text():
+    rng = random.Random(5)
+    russian = "компания прогноз директоров спрос бумаги рынок акции выросли прибыль квартал отчёт аналитики снижение облигации".split()
+    polish = "wzrosła złotego osłabił się żywności cenę obniżyli importerów uderzyło również spółka ogłosiła między".split()
+    other = "être très bénéfice año España größere prévision ação não".split()
+    docs = [[rng.choice(group) for _ in range(12)] for group in (russian, polish, other) for _ in range(60)]
+    model = encoding_repair.train(docs, frozenset(c for d in docs for w in d for c in w if ord(c) > 127))
+    chain = {name: i for i, (name, _) in enumerate(encoding_repair.CHAINS)}
+    bad = lambda words, name: [encoding_repair.garble(w, chain[name]) for w in words]
+    for name, words in (("cp1251_as_cp1252", russian), ("koi8_as_cp1251", russian), ("cp1250_as_cp1252", polish)):
+        filler = [rng.choice(words) for _ in range(25)]
+        part = " ".join(filler + bad(words[:10], name) + filler)
+        whole = " ".join(bad(words, name))
+        assert encoding_repair.judge([part, whole], model) == [(True, True, name, " ".join(filler + words[:10] + filler)), (True, True, name, " ".join(words))]
+    assert not any(g for g, *_ in encoding_repair.judge([" ".join(d) for d in docs] + ["КОМПАНИЯ ПРОГНОЗ РЫНОК АКЦИИ СПРОС", "dań être peña ñandú"], model))
+
+
 @given(st.text(max_size=40), st.integers(0, encoding_repair.CLEAN - 1))
 def test_invert_undoes_garble(text, chain):
     y = encoding_repair.garble(text, chain)
