@@ -27,9 +27,10 @@ def _ladder(fail: Column, warn: Column) -> Column:
     return F.when(fail, "fail").when(warn, "warn").otherwise("pass")
 
 
-def duplicate_rate(documents: DataFrame, key: str, title: str, scanned: int = DUPLICATES_SCANNED) -> DataFrame:
-    """Share of near-duplicate titles among the most recent ``scanned`` documents (a report on recent rows)."""
-    recent = documents.select(F.col(key).alias("id"), F.col(title).alias("title")).orderBy(F.col(key).desc()).limit(scanned)
+def duplicate_rate(documents: DataFrame, key: str, title: str, scanned: int | None = DUPLICATES_SCANNED) -> DataFrame:
+    """Share of near-duplicate titles among the most recent ``scanned`` documents (a report on recent rows); None: among all."""
+    recent = documents.select(F.col(key).alias("id"), F.col(title).alias("title"))
+    recent = recent if scanned is None else recent.orderBy(F.col("id").desc()).limit(scanned)
     members = classes(recent, "id", "title")
     extras = extra_documents(members, similar_classes(members))
     counts = recent.agg(F.count(F.lit(1)).alias("scanned")).withColumn("k", F.lit(1)).join(extras.agg(F.count(F.lit(1)).alias("extras")).withColumn("k", F.lit(1)), "k")

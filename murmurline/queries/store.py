@@ -78,6 +78,11 @@ def duplicate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_rate(table(spark, sf_dir, "source_docs"), "id", "title").select("check_name", "status", "value")
 
 
+def duplicate_rate_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate rate of the whole table; ``duplicate_rate`` reports on recent rows."""
+    return quality.duplicate_rate(table(spark, sf_dir, "source_docs"), "id", "title", scanned=None).select("check_name", "status", "value")
+
+
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities found in the documents by cash tag, ticker and name."""
     phrases = resolution.dictionary(table(spark, sf_dir, "entities"))
@@ -268,7 +273,7 @@ def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    content_hash_dedup, insert_if_absent, upsert_last_wins, bars_restatement, latest_per_key, near_duplicate_classes, near_duplicates_of_documents, duplicate_rate, resolve_links,
+    content_hash_dedup, insert_if_absent, upsert_last_wins, bars_restatement, latest_per_key, near_duplicate_classes, near_duplicates_of_documents, duplicate_rate, duplicate_rate_of_all, resolve_links,
     resolver_precision_recall, keyword_sentiment, sentiment_macro_f1, freshness, volume_anomaly, resolution_coverage, enrichment_coverage, panel_freshness, quality_report,
     field_completeness, monthly_volume, html_clean, rss_first_of_links, rss_documents, hn_documents, bars_of_entities, unknown_tickers, engagement_values, iso_dates, published_instants,
     recent_documents, orphans, forward_return, rank_ic, topic_keywords, topic_keywords_by_version, topic_kmeans,
@@ -348,6 +353,8 @@ ORACLES = {
       l AS (SELECT x AS label, count(*) FILTER (truth = x AND predicted = x) AS tp, count(*) FILTER ((truth = x) <> (predicted = x)) AS miss FROM p, unnest(['positive', 'negative', 'neutral']) u(x) GROUP BY x)
       SELECT round((SELECT avg(CAST(truth = predicted AS INTEGER)) FROM p), 6) AS accuracy, round(avg(2.0 * tp / (2 * tp + miss)), 6) AS macro_f1 FROM l WHERE tp + miss > 0""",
     **_CHECKS,
+    "duplicate_rate_of_all": f"""WITH {_TOKENS.format('source_docs')}, extras AS (SELECT id FROM sets WHERE id <> class_id UNION SELECT id_b FROM pairs), r AS (SELECT (SELECT count(*) FROM extras) / CAST((SELECT count(*) FROM source_docs) AS DOUBLE) AS rate)
+      SELECT 'duplicate_rate' AS check_name, CASE WHEN rate > 0.02 THEN 'fail' WHEN rate > 0.01 THEN 'warn' ELSE 'pass' END AS status, round(rate, 6) AS value FROM r""",
     "quality_report": " UNION ALL ".join(f"SELECT check_name, {'source_name' if n in ('freshness', 'volume_anomaly') else 'CAST(NULL AS VARCHAR) AS source_name'}, status, value FROM ({sql})" for n, sql in _CHECKS.items()),
     "field_completeness": " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(CASE WHEN {f} IS NOT NULL AND {f} <> '' THEN 1.0 ELSE 0.0 END), 6) AS completeness FROM rss_raw" for f in ("title", "summary", "url", "published_date", "source")),
     "monthly_volume": """WITH t AS (SELECT source_id, epoch_us(ingested_at) // 1000000 AS e FROM source_docs), l AS (SELECT source_id, list_sort(list(e)) AS es FROM t GROUP BY source_id), q AS (SELECT source_id, len(es) AS n, (es[CAST(floor(0.75 * (len(es) - 1)) AS INTEGER) + 1] - es[CAST(floor(0.25 * (len(es) - 1)) AS INTEGER) + 1]) / 3600.0 AS span FROM l)

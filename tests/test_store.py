@@ -135,6 +135,12 @@ def test_quality_ladders(spark):
     assert one(quality.panel_freshness(panel.limit(0), links, "2026-07-10")) == ("warn", None) and one(quality.panel_freshness(panel.limit(0), links.limit(0), "2026-07-10")) == ("pass", None)
 
 
+def test_duplicate_rate_of_the_whole_table(spark):
+    rows = [(i, "the same old title") for i in range(100)] + [(100 + i, f"title number a{i} b{i} c{i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "id long, title string")
+    assert quality.duplicate_rate(docs, "id", "title").first().value == 0 and quality.duplicate_rate(docs, "id", "title", scanned=None).first().value == 0.09
+
+
 def test_monthly_volume_and_completeness(spark):
     rows = [("a", 1_700_000_000 + 3600 * i) for i in range(100)] + [("b", 1_700_000_000 + 3600 * i) for i in range(100)] + [("b", 0)] + [("c", 1)] * 3 + [("c", None)]
     got = {r.s: r.estimated for r in recon.monthly_volume(spark.createDataFrame(rows, "s string, e long"), "s", "e").collect()}
