@@ -263,13 +263,17 @@ def topic_keywords_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A k-means topic fit on the stored vectors of the first model."""
-    v = table(spark, sf_dir, "doc_vectors").filter("model = 'pocket-embed-384' AND size(vector) = 384")
-    latest = v.groupBy("document_id").agg(F.max(F.struct("embedded_at", "vector")).alias("r")).select("document_id", F.col("r.vector").cast("array<double>").alias("vector"))
+    """A k-means topic fit on the stored vectors of each model; a model of too few documents has no row."""
+    v = table(spark, sf_dir, "doc_vectors").filter("size(vector) = 384")
+    latest = v.groupBy("model", "document_id").agg(F.max(F.struct("embedded_at", "vector")).alias("r")).select("model", "document_id", F.col("r.vector").cast("array<double>").alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = latest.withColumn("norm", norm).filter("norm > 0").select("document_id", F.expr("transform(vector, x -> x / norm)").alias("vector"))
-    fit = topics.kmeans_fit(unit)
-    return fit if fit is not None else spark.createDataFrame([], "document_id long, topic_id int, probability double")
+    unit = latest.withColumn("norm", norm).filter("norm > 0").select("model", "document_id", F.expr("transform(vector, x -> x / norm)").alias("vector"))
+    out = spark.createDataFrame([], "model string, document_id long, topic_id int, probability double")
+    for row in v.select("model").distinct().orderBy("model").collect():  # one row for each configured model
+        fit = topics.kmeans_fit(unit.filter(F.col("model").eqNullSafe(row["model"])).drop("model"))
+        if fit is not None:
+            out = out.unionByName(fit.select(F.lit(row["model"]).cast("string").alias("model"), "document_id", "topic_id", "probability"))
+    return out
 
 
 _NAMES = (

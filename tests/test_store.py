@@ -205,6 +205,13 @@ def test_enrichment_and_topics(spark):
     assert len(set(fit.values())) == 2 and len({fit[i] for i in range(1, 60, 2)}) == 1
 
 
+def test_every_model_is_fitted(spark, tmp_path):
+    rows = [(i, m, [1.0 + i % 7 if j % 8 == i % 8 else 0.01 for j in range(384)], NOW) for m, n in (("a", 80), ("b", 60), ("few", 5)) for i in range(n)]
+    spark.createDataFrame(rows, "document_id long, model string, vector array<float>, embedded_at timestamp").write.parquet(str(tmp_path / "doc_vectors.parquet"))
+    got = store.topic_kmeans(spark, str(tmp_path)).collect()
+    assert {m: len({r.document_id for r in got if r.model == m}) for m in {r.model for r in got}} == {"a": 80, "b": 60}
+
+
 def test_keywords_of_each_version_stand_alone(spark):
     docs = spark.createDataFrame([(1, "alpha alpha beta"), (2, "beta gamma"), (3, "delta")], "document_id long, text string")
     old, new = [(1, 1, "v1"), (2, 2, "v1")], [(2, 3, "v2"), (3, 4, "v2"), (1, 4, "v2")]
