@@ -5,7 +5,8 @@ the log reading with its neighbours, less the row's median.  Robust principal co
 component pursuit by an inexact augmented Lagrangian) split it into a low-rank part, what the source
 normally does, and a sparse part, what it does not.  A reading is a spike if its sparse part is large
 against the source's moves around that day and the reading is far from the levels before *and* after
-it, so that splits, gaps and other lasting new levels are none.  Impossible values (range) and
+it, so that splits, gaps and other lasting new levels are none.  A wrong level is found if it lasts at
+most ``REACH`` sessions; a longer one is the majority of its own profiles.  Impossible values (range) and
 constant runs far longer than the source's own habit are tested separately.
 
 Work is split by (source, block of ``BLOCK_DAYS``) with a margin on both sides, so that no group grows
