@@ -1,25 +1,31 @@
 """The k most similar vectors of every vector, within groups that must not be compared.
 
-An inverted index with balanced posting lists:
+An inverted index with balanced posting lists on two levels, both fitted by the same clustering (parts that
+stay too large are split again, so crowded regions get more lists) and searched in the same way:
 
-* centroids come from balanced hierarchical clustering of a bounded sample (``SAMPLE`` vectors of each
-  group, chosen by the hash of their id), so crowded regions get more lists;
-* a vector near a boundary is posted to several lists: those whose centroids are not farther than
-  ``1 + POST_RATIO`` times the nearest one, at most ``POSTED``;
-* a query probes the lists within ``1 + PROBE_RATIO`` of the nearest centroid, at most ``PROBED``;
-* the nearest centroids are found by best-first search in a neighbour graph held in memory.
+* *cells* of about ``CELL`` vectors: their centroids are fitted on the driver from a bounded sample
+  (``SAMPLE_A_CELL`` vectors for each cell, chosen by the hash of their id) and sent to the executors.  There
+  are at most ``MOST_CELLS`` of them over all groups, which bounds the sample and the broadcast; beyond
+  ``CELL * MOST_CELLS`` vectors the cells grow;
+* *lists* of about ``LIST`` vectors inside each cell, fitted by the task that holds the cell, so their number
+  is in proportion to the vectors, whatever their number, and they are never collected or broadcast.
 
-Every vector is indexed and every vector is a query.  Lists are compared as matrix products; a list that
-the sample shows to be long is cut into blocks of queries times blocks of postings, which together are
-exact, so no group grows with the data.  Only the best k of a query leave a block.
+On both levels a vector near a boundary is posted to each list whose centroid is not farther than
+``1 + ratio`` times the nearest one, a query probes the lists within a wider ratio, and the nearest centroids
+are found by best-first search in a neighbour graph held in memory.  A vector travels once to each of its
+cells, as 16-bit numbers, where it is a query, a posting or both; lists are compared as matrix products.
 
-The driver holds the sample (at most ``SAMPLE`` vectors of a group at a time) and at most ``MOST_LISTS``
-centroids of each group, which are sent to the executors.
+Vectors that are the same after scaling form a class.  Of a class with more than ``k`` other members only the
+first ``k + 1`` ids are posted, which are all that any answer needs, and its members' answers are read from
+these; so a class may hold any share of the rows.
+
+Every vector is indexed and every vector is a query.
 
 Defined results: of each (id, group) the vector with the latest time counts (equal times: the greatest
-vector); NULL vectors and groups, vectors of another length, all zeros, or with NULL, NaN or infinite
-entries take no part; equal similarities are settled by the smaller id; a group of one vector has no
-neighbours; an empty table gives no row.
+code, usable before unusable); NULL ids and groups, NULL vectors, vectors of another length, all zeros, or with
+NULL, NaN or infinite entries take no part; similarities are rounded to 6 digits and equal ones settled by
+the smaller id; a group of one vector has no neighbours; an empty table gives no row.  The groups are a
+configuration of few values, such as models.
 """
 
 from __future__ import annotations
@@ -27,229 +33,310 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-SAMPLE = 12_000
-LIST_LENGTH = 250  # vectors for each centroid
-MOST_LISTS = 4096
-BLOCK = 2500  # postings of a list that are compared at once
-POSTED, POST_RATIO = 4, 0.10
-PROBED, PROBE_RATIO = 8, 0.16
-LINKS, ENTRY, BEAM = 24, 48, 24
-
+from murmurline.session import cut_lineage
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(x @ centres.T, axis=1)
+CELL, MOST_CELLS, SAMPLE_A_CELL = 8_000, 3_000, 16
+LEAST_SAMPLE = 4_000  # vectors of each group that has more than one cell
+LIST, FIT_ROWS = 1_000, 48  # vectors of a list inside a cell, and of them for the fit
+FAN = 12  # parts of one split
+CELLS = {"post": (0.06, 3), "probe": (0.09, 4)}  # distance ratio and most cells
+LISTS = {"post": (0.10, 4), "probe": (0.16, 8)}
+LINKS, BEAM = 24, 24
+QUERY, POSTING = 1, 2
+MOST_CLASSES = 200_000  # classes of equal vectors that are broadcast; more are joined by shuffling
 
 
-def _split(x: np.ndarray, parts: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """Balanced spherical clustering: a cluster's attraction falls as it fills beyond its share."""
+def _split(x: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Balanced spherical clustering: a part that holds more than its share attracts less in the next round."""
     centres = x[rng.choice(len(x), parts, replace=False)].copy()
     handicap = np.zeros(parts, np.float32)
+    share = len(x) / parts
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T - handicap, axis=1)
+        attraction = x @ centres.T - handicap
+        own = attraction.argmax(axis=1)
         size = np.bincount(own, minlength=parts)
-        handicap += 0.02 * (size / (len(x) / parts) - 1.0).astype(np.float32)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), x[rng.choice(len(x), parts)])
-    return centres.astype(np.float32)
+        handicap += (0.1 * (float(attraction.std()) + 1e-6) * np.clip(size / share - 1.0, -1.0, 3.0)).astype(np.float32)
+        sums = np.stack([x[own == p].sum(axis=0) if size[p] else x[rng.integers(len(x))] for p in range(parts)])
+        centres = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    return centres
 
 
-class Index:
-    """Unit centroids, their neighbour graph, its entry points, and the blocks of each list."""
+def balanced_centres(x: np.ndarray, target: float, seed: int = 7) -> np.ndarray:
+    """Unit centroids of parts of about ``target`` rows; parts that stay beyond 1.5 times that are split again.
+
+    Centroids that attract less than a quarter of ``target`` are left out, and their rows go to others.
+    """
+    rng = np.random.default_rng(seed)
+    todo, out = [x], []
+    while todo:
+        part = todo.pop()
+        wanted = int(np.ceil(len(part) / target))
+        split = None
+        if wanted > 1 and len(part) > 1.5 * target:
+            centres = _split(part, min(FAN, wanted), rng)
+            own = (part @ centres.T).argmax(axis=1)
+            split = [part[own == p] for p in range(len(centres))]
+            split = [s for s in split if len(s)]
+        if split and len(split) > 1:
+            todo.extend(split)
+        else:  # small enough, or rows that no centroid tells apart
+            mean = part.sum(axis=0)
+            out.append(mean / max(float(np.linalg.norm(mean)), 1e-9))
+    centres = np.array(out, np.float32)
+    own = np.concatenate([(x[at : at + 4096] @ centres.T).argmax(axis=1) for at in range(0, len(x), 4096)])
+    size = np.bincount(own, minlength=len(centres))
+    return centres[(size >= target / 4) | (size == size.max())]
 
-    def __init__(self, centres: np.ndarray, links: np.ndarray, entry: np.ndarray, blocks: np.ndarray):
-        self.centres, self.links, self.entry, self.blocks = centres, links, entry, blocks
+
+class Index:
+    """Unit centroids and the graph that links each with its nearest ones."""
+
+    def __init__(self, centres: np.ndarray, links: np.ndarray | None = None):
+        self.centres = centres
+        if links is None:
+            count = min(LINKS, max(len(centres) - 1, 0))
+            links = np.empty((len(centres), count), np.int32)
+            for at in range(0, len(centres), 1024):
+                rows = np.arange(at, min(at + 1024, len(centres)))
+                sims = centres[rows] @ centres.T
+                sims[np.arange(len(rows)), rows] = -9.0
+                links[rows] = np.argsort(-sims, axis=1, kind="stable")[:, :count]
+        self.links = links
 
     def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, similarities) of the ``want`` nearest centroids of each row, by best-first graph search."""
+        """(numbers, similarities) of the ``want`` nearest centroids of each row, best first, by best-first graph search.
+
+        The search starts from evenly spaced centroids and opens the best unopened one of the beam until all of
+        the beam are opened.  With at most ``LINKS + 1`` centroids every one is linked to all others, and the
+        first step sees them all.
+        """
         count, k = len(x), len(self.centres)
         want = min(want, k)
-        if k <= ENTRY * 2:
+        if k <= LINKS + 1:
             sims = x @ self.centres.T
-            ids = np.argsort(-sims, axis=1, kind="stable")[:, :want]
-            return ids, np.take_along_axis(sims, ids, 1)
-        rows = np.arange(count)[:, None]
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :want]
+            return order, np.take_along_axis(sims, order, 1)
+        rows = np.arange(count)
+        width = max(BEAM, want)
+        start = np.unique(np.linspace(0, k - 1, min(k, max(2 * BEAM, int(np.sqrt(k))))).astype(np.int64))
         seen = np.zeros((count, k), bool)
-        beam = np.broadcast_to(self.entry, (count, len(self.entry))).copy()
-        score = x @ self.centres[self.entry].T
-        seen[rows, beam] = True
+        seen[:, start] = True
+        beam, score = np.broadcast_to(start, (count, len(start))), x @ self.centres[start].T
         opened = np.zeros(beam.shape, bool)
-        width = max(BEAM, want)
-        for _ in range(12):
+        while True:
             order = np.argsort(-score, axis=1, kind="stable")[:, :width]
-            beam, score, opened = beam[rows, order], score[rows, order], opened[rows, order]
-            best = np.argmax(np.where(opened, -9.0, score), axis=1)
-            live = ~opened[np.arange(count), best]
+            beam, score, opened = (np.take_along_axis(a, order, 1) for a in (beam, score, opened))
+            best = np.where(opened, -9.0, score).argmax(axis=1)
+            live = ~opened[rows, best]
             if not live.any():
-                break
-            second = np.where(opened, -9.0, score)
-            second[np.arange(count), best] = -9.0
-            next_best = np.argmax(second, axis=1)
-            opened[np.arange(count), best] = True
-            opened[np.arange(count), next_best] = True
-            fresh = np.concatenate([self.links[beam[np.arange(count), best]], self.links[beam[np.arange(count), next_best]]], axis=1)
-            new = ~seen[rows, fresh]
-            seen[rows, fresh] = True
+                return beam[:, :want], score[:, :want]
+            opened[rows, best] = True
+            fresh = self.links[beam[rows, best]]
+            new = ~seen[rows[:, None], fresh] & live[:, None]
+            seen[rows[:, None], fresh] = True
             gained = np.where(new, np.einsum("bd,bnd->bn", x, self.centres[fresh]), -9.0)
-            # A centroid linked from both opened ones counts once.
-            gained[:, LINKS:][(fresh[:, LINKS:, None] == fresh[:, None, :LINKS]).any(axis=2)] = -9.0
-            keep = np.argsort(-gained, axis=1, kind="stable")[:, :width]
-            beam = np.concatenate([beam, fresh[rows, keep]], axis=1)
-            score = np.concatenate([score, gained[rows, keep]], axis=1)
-            opened = np.concatenate([opened, gained[rows, keep] < -8.0], axis=1)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :want]
-        return beam[rows, order], score[rows, order]
-
-
-def fit_index(sample: np.ndarray, total: int, seed: int = 7) -> Index:
-    """The index of a group of ``total`` unit vectors from a sample of them."""
-    rng = np.random.default_rng(seed)
-    lists = int(min(MOST_LISTS, max(1, total // LIST_LENGTH), max(1, len(sample) // 8)))
-    first = max(1, int(round(np.sqrt(lists))))
-    if lists == 1:
-        centres = sample.mean(axis=0, keepdims=True)
-        centres = (centres / max(float(np.linalg.norm(centres)), 1e-9)).astype(np.float32)
-    else:
-        coarse = _split(sample, first, 8, rng)
-        own = _nearest(sample, coarse)
-        parts = []
-        for c in range(first):
-            mine = sample[own == c]
-            if len(mine):
-                parts.append(_split(mine, int(min(len(mine), max(1, round(lists * len(mine) / len(sample))))), 6, rng))
-        centres = np.concatenate(parts)
-    k = len(centres)
-    near = np.argsort(-(centres @ centres.T), axis=1, kind="stable")[:, 1 : LINKS + 1] if k > LINKS else np.zeros((k, LINKS), int)
-    entry = rng.choice(k, min(ENTRY, k), replace=False)
-    share = np.bincount(_nearest(sample, centres), minlength=k) / max(len(sample), 1)
-    blocks = np.maximum(1, np.ceil(share * total * 2 / BLOCK)).astype(int)
-    return Index(centres, near.astype(np.int64), entry, blocks)
-
-
-def _lists(sims: np.ndarray, ratio: float, most: int) -> np.ndarray:
-    """Which of the nearest centroids (best first) are within the distance ratio."""
-    distance = np.sqrt(np.maximum(2.0 - 2.0 * sims, 1e-9))
-    inside = distance <= (1.0 + ratio) * distance[:, :1] + 1e-6
-    inside[:, most:] = False
-    inside[:, 0] = True
-    return inside
-
-
-def _unit(batch: pa.RecordBatch, size: int) -> tuple[list, list, np.ndarray]:
-    """Ids, groups and unit vectors of the usable rows."""
-    lengths = batch.column("vector").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    right = np.flatnonzero(lengths == size)
-    kept = batch.take(pa.array(right))
-    x = np.asarray(kept.column("vector").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
-    norm = np.sqrt((x * x).sum(axis=1))
-    good = np.isfinite(norm) & (norm > 0)
-    ids, groups = kept.column("id").to_pylist(), kept.column("group_id").to_pylist()
-    at = np.flatnonzero(good)
-    return [ids[i] for i in at], [groups[i] for i in at], (x[at] / norm[at, None]).astype(np.float32)
+            beam, score, opened = np.concatenate([beam, fresh], axis=1), np.concatenate([score, gained], axis=1), np.concatenate([opened, ~new], axis=1)
 
+    def chosen(self, x: np.ndarray, rules: dict[str, tuple[float, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, posted, probed) of each row: which of the nearest centroids the distance ratios select."""
+        numbers, sims = self.search(x, max(most for _, most in rules.values()))
+        distance = np.sqrt(np.maximum(2.0 - 2.0 * sims, 1e-9))
 
-def usable_vectors(df: DataFrame, key: str, group: str, vector: str, time: str, size: int) -> DataFrame:
-    """(id bigint, group_id, unit binary): the latest usable vector of each (id, group), scaled to length 1."""
-    rows = df.filter(F.col(key).isNotNull() & F.col(group).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("group_id"), F.col(time).alias("time"), F.col(vector).cast("array<float>").alias("vector"))
-    latest = rows.groupBy("id", "group_id").agg(F.max(F.struct(F.col("time").isNotNull().alias("known"), "time", "vector")).alias("r")).select("id", "group_id", F.col("r.vector").alias("vector")).filter(F.size("vector") == size)
+        def inside(ratio: float, most: int) -> np.ndarray:
+            within = distance <= (1.0 + ratio) * distance[:, :1] + 1e-6
+            within[:, most:] = False
+            return within
+
+        return numbers, inside(*rules["post"]), inside(*rules["probe"])
+
+
+def _decoded(codes: pa.Array) -> np.ndarray:
+    """Unit vectors of a binary array without NULL, all of one length."""
+    offsets = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+    x = np.frombuffer(codes.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int16).reshape(len(codes), -1).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, groups, x = _unit(batch, size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.string()), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "group_id", "unit"])
 
-    return latest.mapInArrow(scale, "id long, group_id string, unit binary")
+def usable_vectors(df: DataFrame, key: str, group: str, vector: str, time: str, size: int) -> DataFrame:
+    """(id bigint, group_id, code binary): the latest vector of each (id, group), if it is usable, as 16-bit numbers.
 
+    A code keeps the direction to about 2e-6 of a similarity.  The codes are kept in the shared checkpoint
+    folder, as every later step reads them.
+    """
+    rows = df.filter(F.col(key).isNotNull() & F.col(group).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("group_id"), F.col(time).alias("time"), F.col(vector).cast("array<float>").alias("vector"))
+    time_type = dict(rows.dtypes)["time"]
 
-def fit_indexes(units: DataFrame, sample: int = SAMPLE) -> dict[str, Index]:
-    """An index for each group, from at most about ``sample`` vectors of each."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vector")
+            right = np.flatnonzero(vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == size)
+            x = np.asarray(vectors.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, size)
+            largest = np.abs(x).max(axis=1, initial=0.0)
+            good = np.isfinite(largest) & (largest > 0)
+            codes = np.full(batch.num_rows, None, object)
+            scaled = np.rint(x[good].astype(np.float64) / largest[good, None] * 32767).astype(np.int16)
+            codes[right[good]] = [c.tobytes() for c in scaled]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("group_id"), batch.column("time"), pa.array(codes, pa.binary())], ["id", "group_id", "time", "code"])
+
+    coded = rows.mapInArrow(encode, f"id long, group_id string, time {time_type}, code binary")
+    latest = coded.groupBy("id", "group_id").agg(F.max(F.struct(F.col("time").isNotNull().alias("known"), "time", "code")).alias("r"))
+    return cut_lineage(latest.select("id", "group_id", F.col("r.code").alias("code")).filter("code IS NOT NULL"))
+
+
+def fit_indexes(units: DataFrame) -> dict[str, Index]:
+    """The cells of each group, from at most about ``MOST_CELLS * SAMPLE_A_CELL`` vectors, or ``LEAST_SAMPLE`` of a small group."""
     totals = {r["group_id"]: r["n"] for r in units.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bound = MOST_CELLS / max(sum(totals.values()), 1)
+    cells = {name: max(1, int(min(n / CELL, n * bound))) for name, n in totals.items()}
+    wanted = {name: min(totals[name], max(LEAST_SAMPLE, SAMPLE_A_CELL * c)) for name, c in cells.items() if c > 1}
+    held: dict[str, list[np.ndarray]] = {name: [] for name in wanted}
+    if wanted:
+        rate = F.create_map(*[F.lit(v) for name in sorted(wanted) for v in (name, wanted[name] / totals[name])])
+        share = F.pmod(F.xxhash64("id"), F.lit(2**31)) / float(2**31)
+        sample = units.filter(share < F.element_at(rate, F.col("group_id"))).orderBy("group_id", "id").toArrow()
+        names = np.array(sample.column("group_id").to_pylist(), object)
+        if len(names):
+            x = _decoded(sample.column("code").combine_chunks() if sample.num_rows else sample.column("code"))
+            held = {name: x[names == name] for name in wanted}
     indexes = {}
-    for name, total in sorted(totals.items()):
-        bound = int(min(1.0, sample / total) * 2**31)
-        chosen = units.filter((F.col("group_id") == name) & (F.pmod(F.xxhash64("id"), F.lit(2**31)) < bound if bound < 2**31 else F.lit(True)))
-        rows = chosen.select("id", "unit").toPandas().sort_values("id")
-        x = np.frombuffer(b"".join(rows["unit"]), np.float32).reshape(len(rows), -1) if len(rows) else None
-        if x is not None:
-            indexes[name] = fit_index(x, total)
+    for name, n in totals.items():
+        x = held.get(name)
+        if x is None or len(x) < 2:
+            indexes[name] = Index(np.zeros((1, 1), np.float32))  # one cell, nothing to choose
+        else:
+            indexes[name] = Index(balanced_centres(x, len(x) / cells[name]))
     return indexes
 
 
+def _equal_classes(units: DataFrame, k: int) -> DataFrame:
+    """(group_id, same, firsts): the ``k + 1`` smallest ids of each class of equal codes with more members."""
+    order = Window.partitionBy("group_id", "same").orderBy("id")
+    # Only the first rows of a class leave a task.
+    firsts = units.select("group_id", "id", F.md5("code").alias("same")).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 2)
+    classes = firsts.groupBy("group_id", "same").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") == k + 2)
+    return classes.select("group_id", "same", F.slice("ids", 1, k + 1).alias("firsts"))
+
+
 def nearest_vectors(units: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
     """(group_id, id, neighbour, similarity, place): the k most similar vectors of every vector.
 
-    ``units`` comes from :func:`usable_vectors`.
+    ``units`` comes from :func:`usable_vectors`, ``indexes`` from :func:`fit_indexes`.
     """
     spark = units.sparkSession
-    held = spark.sparkContext.broadcast({name: (i.centres, i.links, i.entry, i.blocks) for name, i in indexes.items()})
+    first_cell, cells = {}, 0
+    for name in sorted(indexes):
+        first_cell[name], cells = cells, cells + len(indexes[name].centres)
+    held = spark.sparkContext.broadcast({name: (first_cell[name], i.centres, i.links) for name, i in indexes.items()})
+
+    classes = cut_lineage(_equal_classes(units, k))
+    of_class, count = None, classes.count()
+    rows = units.withColumn("role", F.lit(QUERY | POSTING))
+    if count:
+        classes = F.broadcast(classes) if count <= MOST_CLASSES else classes
+        marked = units.withColumn("same", F.md5("code")).join(classes, ["group_id", "same"], "left")
+        rows = marked.filter(F.col("firsts").isNull() | F.array_contains("firsts", F.col("id"))).select("id", "group_id", "code", F.when(F.col("firsts").isNull(), QUERY | POSTING).otherwise(POSTING).alias("role"))
+        others = F.slice(F.array_remove("firsts", F.col("id")), 1, k)
+        of_class = marked.filter("firsts IS NOT NULL").select("group_id", "id", F.posexplode(others).alias("at", "neighbour")).select("group_id", "id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("at") + 1).alias("place"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes_here = {name: (first, Index(centres, links)) for name, (first, centres, links) in held.value.items()}
         for batch in batches:
-            ids = batch.column("id").to_numpy()
             names = np.array(batch.column("group_id").to_pylist(), object)
-            raw = batch.column("unit").to_pylist()
-            for name in sorted(set(names)):
-                if name not in held.value:
-                    continue
-                index = Index(*held.value[name])
+            for name in sorted(set(names) & set(indexes_here)):
+                first, index = indexes_here[name]
                 mine = np.flatnonzero(names == name)
-                for at in range(0, len(mine), 256):
-                    part = mine[at : at + 256]
-                    x = np.frombuffer(b"".join(raw[i] for i in part), np.float32).reshape(len(part), -1)
-                    near, sims = index.search(x, PROBED)
-                    probed = _lists(sims, PROBE_RATIO, PROBED)
-                    posted = _lists(sims, POST_RATIO, POSTED) & probed
-                    out: list[list] = [[], [], [], [], [], []]
-                    for r, c in zip(*np.nonzero(probed)):
-                        i, target = part[r], int(near[r, c])
-                        blocks = int(index.blocks[target])
-                        own = int(ids[i]) * 2654435761 % (2**32) * blocks >> 32
-                        roles = [(own, b, 1 if b != own or not posted[r, c] else 3) for b in range(blocks)]
-                        if posted[r, c]:
-                            roles += [(b, own, 2) for b in range(blocks) if b != own]
-                        for q, b, role in roles:
-                            for column, value in zip(out, (target, q, b, int(ids[i]), role, raw[i])):
-                                column.append(value)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(out[0]), pa.string()), *[pa.array(out[j], pa.int32()) for j in range(3)], pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())],
-                        ["group_id", "list_no", "query_block", "post_block", "id", "role", "unit"],
-                    )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["unit"]), np.float32).reshape(len(pdf), -1)
-        ids, role = pdf["id"].to_numpy(), pdf["role"].to_numpy()
-        posts = np.flatnonzero(role & 2)
-        posts = posts[np.argsort(ids[posts], kind="stable")]
-        queries = np.flatnonzero(role & 1)
-        found: list[tuple] = []
-        take = min(k, len(posts))
-        if not take:
-            return pd.DataFrame({"group_id": [], "id": [], "neighbour": [], "similarity": []})
-        for at in range(0, len(queries), 1024):
-            q = queries[at : at + 1024]
-            sims = x[q] @ x[posts].T
-            sims[ids[q][:, None] == ids[posts][None, :]] = -9.0
-            best = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take < sims.shape[1] else np.broadcast_to(np.arange(take), (len(q), take))
-            value = np.take_along_axis(sims, best, 1)
-            keep = value > -8.0
-            r = np.broadcast_to(np.arange(len(q))[:, None], best.shape)[keep]
-            found.append((ids[q][r], ids[posts][best[keep]], value[keep]))
-        return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "id": np.concatenate([f[0] for f in found]), "neighbour": np.concatenate([f[1] for f in found]), "similarity": np.concatenate([f[2] for f in found]).astype(float)}) if found else pd.DataFrame({"group_id": [], "id": [], "neighbour": [], "similarity": []})
+                for at in range(0, len(mine), 1024):
+                    part = batch.take(pa.array(mine[at : at + 1024]))
+                    role = part.column("role").to_numpy()
+                    if len(index.centres) == 1:
+                        row, cell = np.arange(len(role)), np.zeros(len(role), np.int64)
+                        use = role
+                    else:
+                        numbers, posted, probed = index.chosen(_decoded(part.column("code")), CELLS)
+                        uses = (POSTING * posted | QUERY * probed) & role[:, None]
+                        row, column = np.nonzero(uses)
+                        cell, use = numbers[row, column], uses[row, column]
+                    taken = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array((cell + first).astype(np.int32)), taken.column("group_id"), taken.column("id"), pa.array(use.astype(np.int32)), taken.column("code")], ["cell", "group_id", "id", "role", "code"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        role = table.column("role").to_numpy()
+        x = _decoded(table.column("code").combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        ids, role, x = ids[order], role[order], x[order]
+        posts, queries = np.flatnonzero(role & POSTING), np.flatnonzero(role & QUERY)
+        empty = pa.table({"group_id": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        if not len(posts) or not len(queries):
+            return empty
+        lists = max(1.0, len(posts) / LIST)
+        fit = posts[:: max(1, int(len(posts) / (lists * FIT_ROWS)))]
+        index = Index(balanced_centres(x[fit], len(fit) / lists))
+        entries: dict[str, list[np.ndarray]] = {"post": [], "probe": []}
+        for at in range(0, len(x), 1024):
+            numbers, posted, probed = index.chosen(x[at : at + 1024], LISTS)
+            for kind, bit, chosen in (("post", POSTING, posted), ("probe", QUERY, probed)):
+                row, column = np.nonzero(chosen & ((role[at : at + 1024] & bit) > 0)[:, None])
+                entries[kind].append(np.stack([numbers[row, column], row + at]))
+        by_list = {}
+        for kind, found in entries.items():
+            number, row = np.concatenate(found, axis=1)
+            at = np.argsort(number, kind="stable")
+            by_list[kind] = np.split(row[at], np.searchsorted(number[at], np.arange(1, len(index.centres))))
+        candidates = []
+        position = np.full(len(x), -1)
+
+        def ask(asking: np.ndarray, held_here: np.ndarray) -> None:
+            take = min(k + 2, len(held_here))
+            position[held_here] = np.arange(len(held_here))
+            against = np.ascontiguousarray(x[held_here].T)
+            for at in range(0, len(asking), 512):
+                q = asking[at : at + 512]
+                sims = x[q] @ against
+                itself = np.flatnonzero(position[q] >= 0)
+                sims[itself, position[q[itself]]] = -9.0
+                best = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take < sims.shape[1] else np.broadcast_to(np.arange(take), (len(q), take))
+                candidates.append((np.repeat(q, take), held_here[best].ravel(), np.take_along_axis(sims, best, 1).ravel()))
+            position[held_here] = -1
+
+        room = np.zeros(len(x), np.int64)
+        for held_here, asking in zip(by_list["post"], by_list["probe"]):
+            if len(held_here) and len(asking):
+                ask(asking, held_here)
+                room[asking] = np.maximum(room[asking], len(held_here))
+        # A query whose lists are all too short for k others is compared with the whole cell.
+        short = queries[room[queries] < k + 1]
+        if len(short):
+            ask(short, posts)
+        if not candidates:
+            return empty
+        q, p, sim = (np.concatenate(c) for c in zip(*candidates))
+        real = sim > -8.0
+        q, p, sim = q[real], p[real], np.round(sim[real].astype(np.float64), 6)
+        order = np.lexsort((-sim, p, q))
+        q, p, sim = q[order], p[order], sim[order]
+        once = np.ones(len(q), bool)
+        once[1:] = (q[1:] != q[:-1]) | (p[1:] != p[:-1])
+        q, p, sim = q[once], p[once], sim[once]
+        order = np.lexsort((p, -sim, q))  # rows are in the order of ids
+        q, p, sim = q[order], p[order], sim[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        name = table.column("group_id")[0].as_py()
+        return pa.table({"group_id": pa.array([name] * int(kept.sum()), pa.string()), "id": pa.array(ids[q[kept]], pa.int64()), "neighbour": pa.array(ids[p[kept]], pa.int64()), "similarity": pa.array(sim[kept], pa.float64())})
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    routed = units.repartition(tasks, "id").mapInArrow(route, "group_id string, list_no int, query_block int, post_block int, id long, role int, unit binary")
-    keys = ["group_id", "list_no", "query_block", "post_block"]
-    near = routed.repartition(tasks * 2, *keys).groupBy(*keys).applyInPandas(compare, "group_id string, id long, neighbour long, similarity double")
-    # The same neighbour may come from several lists; at most k * PROBED * blocks candidates of a query meet.
-    once = near.groupBy("group_id", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
-    best = once.groupBy("group_id", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("away"), "neighbour"))), 1, k).alias("b"))
-    return best.select("group_id", "id", F.posexplode("b").alias("at", "n")).select("group_id", "id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.away")).alias("similarity"), (F.col("at") + 1).alias("place"))
+    routed = rows.mapInArrow(route, "cell int, group_id string, id long, role int, code binary")
+    near = routed.repartition(max(tasks, min(cells, 8 * tasks)), "cell").groupBy("cell").applyInArrow(compare, "group_id string, id long, neighbour long, similarity double")
+    # The same neighbour may come from several cells; a query has at most k * cells candidates.
+    met = near.repartition("group_id", "id").groupBy("group_id", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    best = met.groupBy("group_id", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("away"), "neighbour"))), 1, k).alias("b"))
+    found = best.select("group_id", "id", F.posexplode("b").alias("at", "n")).select("group_id", "id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.away")).alias("similarity"), (F.col("at") + 1).alias("place"))
+    return found if of_class is None else found.unionByName(of_class)
 
 
 def similar_pairs(neighbours: DataFrame, least: float) -> DataFrame:

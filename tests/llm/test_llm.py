@@ -144,31 +144,83 @@ def test_nearest_vectors_recall_and_edges(spark):
     assert nearest_vectors.nearest_vectors(empty, nearest_vectors.fit_indexes(empty), 3).count() == 0
 
 
-def test_long_lists_are_cut_into_exact_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nearest_vectors, "BLOCK", 40)
+def unit_rows(x, ids=None):
+    return [(int(i), "m", [float(c) for c in v], datetime(2026, 1, 1)) for i, v in zip(range(len(x)) if ids is None else ids, x)]
+
+
+def nearest(spark, rows, size, k=3):
+    units = nearest_vectors.usable_vectors(spark.createDataFrame(rows, VECTOR), "id", "model", "vector", "at", size)
+    return {(r.id, r.place): (r.neighbour, r.similarity) for r in nearest_vectors.nearest_vectors(units, nearest_vectors.fit_indexes(units), k).collect()}
+
+
+def test_many_cells_and_lists_keep_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(nearest_vectors, "CELL", 500)
+    monkeypatch.setattr(nearest_vectors, "LIST", 120)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 8)) * 0.01 + 1.0
-    rows = [(i, "m", [float(v) for v in x[i]], datetime(2026, 1, 1)) for i in range(300)]
-    units = nearest_vectors.usable_vectors(spark.createDataFrame(rows, VECTOR), "id", "model", "vector", "at", 8)
-    index = nearest_vectors.fit_indexes(units)
-    assert index["m"].blocks.max() > 1
-    got = {(r.id, r.neighbour) for r in nearest_vectors.nearest_vectors(units, index, 3).collect()}
-    u = np.asarray(x, np.float32)
-    u = u / np.linalg.norm(u, axis=1, keepdims=True)
-    s = u.astype(float) @ u.T.astype(float)
+    # A third of all vectors in one crowded region, the rest in many small ones.
+    x = np.concatenate([1.0 + rng.normal(size=(1400, 12)) * 0.05, np.repeat(rng.normal(size=(70, 12)), 40, axis=0) + rng.normal(scale=0.3, size=(2800, 12))])
+    got = nearest(spark, unit_rows(x), 12)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
     np.fill_diagonal(s, -9)
-    want = {(i, int(j)) for i in range(300) for j in np.argsort(-s[i])[:3]}
-    assert len(got & want) >= 0.97 * len(want)
+    top = np.argsort(-s, axis=1)[:, :3]
+    assert len(got) == 3 * len(x)
+    mine = {(i, n) for (i, _), (n, _) in got.items()}
+    assert np.mean([(i, int(j)) in mine for i in range(len(x)) for j in top[i]]) >= 0.9
+    assert all(v == pytest.approx(s[i, n], abs=2e-5) for (i, _), (n, v) in got.items())
+
+
+def test_vector_asks_in_a_cell_without_postings(spark, monkeypatch):
+    """Members of a large class are posted by their first ids only, so a cell may be asked and hold little or nothing."""
+    monkeypatch.setattr(nearest_vectors, "CELL", 4)
+    monkeypatch.setattr(nearest_vectors, "LEAST_SAMPLE", 10_000)
+    monkeypatch.setattr(nearest_vectors, "CELLS", {"post": (0.0, 1), "probe": (9.0, 9)})
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))
+    got = nearest(spark, unit_rows(x), 6)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert len(got) == 120 and np.mean([got[i, 1][0] == int(s[i].argmax()) for i in range(40)]) >= 0.9
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_equal_vectors_are_answered_from_their_first_ids(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(nearest_vectors, "MOST_CLASSES", 0)
+    rng = np.random.default_rng(5)
+    other = rng.normal(size=(30, 6))
+    x = np.concatenate([np.tile([[1.0, 2, 3, 4, 5, 6]], (200, 1)) * np.arange(1, 201)[:, None], other])
+    got = nearest(spark, unit_rows(x), 6)
+    assert len(got) == 3 * len(x)
+    for i in range(200):
+        want = [j for j in range(4) if j != i][:3]
+        assert [got[i, p] for p in (1, 2, 3)] == [(j, 1.0) for j in want]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(200, 230):
+        s = np.round(u @ u[i], 6)
+        s[i] = -9
+        want = sorted(range(len(x)), key=lambda j: (-s[j], j))[:3]
+        assert [got[i, p][0] for p in (1, 2, 3)] == want
 
 
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(3)
-    sample = rng.normal(size=(6000, 24)).astype(np.float32)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    index = nearest_vectors.fit_index(sample, 100_000)
-    ids, _ = index.search(sample[:300], 4)
-    exact = np.argsort(-(sample[:300] @ index.centres.T), axis=1)[:, :1]
-    assert len(index.centres) > 2 * nearest_vectors.ENTRY and (ids == exact).any(axis=1).mean() > 0.85
+    centres = rng.normal(size=(900, 24)).astype(np.float32)
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[:300] + rng.normal(scale=0.1, size=(300, 24)).astype(np.float32)
+    numbers, sims = nearest_vectors.Index(centres).search(x, 4)
+    exact = np.argsort(-(x @ centres.T), axis=1)[:, 0]
+    assert (numbers[:, 0] == exact).mean() > 0.95 and (np.diff(sims, axis=1) <= 1e-6).all()
+
+
+def test_centres_are_balanced():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([1.0 + rng.normal(size=(3000, 8)) * 0.02, rng.normal(size=(3000, 8))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = nearest_vectors.balanced_centres(x, 200)
+    assert np.bincount((x @ centres.T).argmax(axis=1)).max() <= 400
+    assert len(nearest_vectors.balanced_centres(np.tile(x[:1], (50, 1)), 5)) == 1  # equal rows can't be parted
 
 
 @settings(max_examples=40, deadline=None)
