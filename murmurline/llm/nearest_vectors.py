@@ -40,13 +40,14 @@ from pyspark.sql.window import Window
 
 from murmurline.session import cut_lineage
 
-CELL, MOST_CELLS, SAMPLE_A_CELL = 8_000, 3_000, 16
+CELL, MOST_CELLS, SAMPLE_A_CELL = 4_000, 4_000, 16
 LEAST_SAMPLE = 4_000  # vectors of each group that has more than one cell
-LIST, FIT_ROWS = 1_000, 48  # vectors of a list inside a cell, and of them for the fit
+LIST, FIT_ROWS = 500, 48  # vectors of a list inside a cell, and of them for the fit
+STRIP = 32  # neighbouring similarities of which only the maximum is looked at first
 FAN = 12  # parts of one split
 CELLS = {"post": (0.06, 3), "probe": (0.09, 4)}  # distance ratio and most cells
 LISTS = {"post": (0.10, 4), "probe": (0.16, 8)}
-LINKS, BEAM = 24, 24
+LINKS, BEAM, ENTRIES = 16, 16, 32
 QUERY, POSTING = 1, 2
 MOST_CLASSES = 200_000  # classes of equal vectors that are broadcast; more are joined by shuffling
 
@@ -112,18 +113,18 @@ class Index:
         """(numbers, similarities) of the ``want`` nearest centroids of each row, best first, by best-first graph search.
 
         The search starts from evenly spaced centroids and opens the best unopened one of the beam until all of
-        the beam are opened.  With at most ``LINKS + 1`` centroids every one is linked to all others, and the
-        first step sees them all.
+        the beam are opened, which looks at up to ``ENTRIES + LINKS * BEAM`` centroids; where there are no more
+        than that, all are looked at in one product.
         """
         count, k = len(x), len(self.centres)
         want = min(want, k)
-        if k <= LINKS + 1:
+        if k <= ENTRIES + LINKS * BEAM:
             sims = x @ self.centres.T
             order = np.argsort(-sims, axis=1, kind="stable")[:, :want]
             return order, np.take_along_axis(sims, order, 1)
         rows = np.arange(count)
         width = max(BEAM, want)
-        start = np.unique(np.linspace(0, k - 1, min(k, max(2 * BEAM, int(np.sqrt(k))))).astype(np.int64))
+        start = np.unique(np.linspace(0, k - 1, min(k, max(ENTRIES, int(np.sqrt(k))))).astype(np.int64))
         seen = np.zeros((count, k), bool)
         seen[:, start] = True
         beam, score = np.broadcast_to(start, (count, len(start))), x @ self.centres[start].T
@@ -222,6 +223,88 @@ def _equal_classes(units: DataFrame, k: int) -> DataFrame:
     return classes.select("group_id", "same", F.slice("ids", 1, k + 1).alias("firsts"))
 
 
+def cell_neighbours(ids: np.ndarray, role: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, neighbour, similarity): the k most similar postings of each query of one cell."""
+    order = np.argsort(ids, kind="stable")
+    ids, role, x = ids[order], role[order], x[order]
+    posts, queries = np.flatnonzero(role & POSTING), np.flatnonzero(role & QUERY)
+    if not len(posts) or not len(queries):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    by_list = _lists_of_cell(role, x, posts)
+    # Where the lists overlap so much that they compare no fewer pairs than the whole cell, the cell is one list.
+    if sum(len(held) * len(asking) for held, asking in by_list) >= len(posts) * len(queries):
+        by_list = [(posts, queries)]
+    candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    room = np.zeros(len(x), np.int64)
+    for held, asking in by_list:
+        if len(held) and len(asking):
+            candidates.append(_best_of_list(x, held, asking, k + 2))
+            room[asking] = np.maximum(room[asking], len(held))
+    # A query whose lists are all too short for k others is compared with the whole cell.
+    short = queries[room[queries] < k + 1]
+    if len(short):
+        candidates.append(_best_of_list(x, posts, short, k + 2))
+    q, p, sim = (np.concatenate(c) for c in zip(*candidates))
+    sim = np.round(sim.astype(np.float64), 6)
+    order = np.lexsort((p, -sim, q))  # rows are in the order of ids
+    q, p, sim = q[order], p[order], sim[order]
+    if len(candidates) > 1:  # lists share postings; their similarities may differ in the last digit
+        _, first = np.unique(q * len(x) + p, return_index=True)
+        first.sort()
+        q, p, sim = q[first], p[first], sim[first]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return ids[q[kept]], ids[p[kept]], sim[kept]
+
+
+def _lists_of_cell(role: np.ndarray, x: np.ndarray, posts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(postings, queries) of each list of a cell."""
+    lists = max(1.0, len(posts) / LIST)
+    fit = posts[:: max(1, int(len(posts) / (lists * FIT_ROWS)))]
+    index = Index(balanced_centres(x[fit], len(fit) / lists))
+    entries: dict[int, list[np.ndarray]] = {POSTING: [], QUERY: []}
+    for at in range(0, len(x), 1024):
+        numbers, posted, probed = index.chosen(x[at : at + 1024], LISTS)
+        for bit, chosen in ((POSTING, posted), (QUERY, probed)):
+            row, column = np.nonzero(chosen & ((role[at : at + 1024] & bit) > 0)[:, None])
+            entries[bit].append(np.stack([numbers[row, column], row + at]))
+    sides = []
+    for bit in (POSTING, QUERY):
+        number, row = np.concatenate(entries[bit], axis=1)
+        at = np.argsort(number, kind="stable")
+        sides.append(np.split(row[at], np.searchsorted(number[at], np.arange(1, len(index.centres)))))
+    return list(zip(*sides))
+
+
+def _best_of_list(x: np.ndarray, held: np.ndarray, asking: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, posting row, similarity): the ``take`` best postings of each query, itself left out."""
+    take = min(take, len(held))
+    width = -(-len(held) // STRIP)  # column c belongs to strip c % width
+    against = np.zeros((width * STRIP, x.shape[1]), np.float32)
+    against[: len(held)] = x[held]
+    position = np.full(len(x), -1)
+    position[held] = np.arange(len(held))
+    found = []
+    for at in range(0, len(asking), 512):
+        q = asking[at : at + 512]
+        sims = x[q] @ against.T
+        sims[:, len(held) :] = -9.0
+        itself = np.flatnonzero(position[q] >= 0)
+        sims[itself, position[q[itself]]] = -9.0
+        # The best of a row lie in the strips with the best maxima.
+        inside, where = sims, np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+        if width > take:
+            strips = sims.reshape(len(q), STRIP, width)
+            good = np.argpartition(strips.max(axis=1), -take, axis=1)[:, -take:]
+            where = (np.arange(STRIP)[None, :, None] * width + good[:, None, :]).reshape(len(q), -1)
+            inside = np.take_along_axis(sims, where, 1)
+        best = np.argpartition(inside, -take, axis=1)[:, -take:]
+        value, column = np.take_along_axis(inside, best, 1).ravel(), np.take_along_axis(where, best, 1).ravel()
+        real = value > -8.0
+        found.append((np.repeat(q, take)[real], held[column[real]], value[real]))
+    rows, others, values = zip(*found)
+    return np.concatenate(rows), np.concatenate(others), np.concatenate(values)
+
+
 def nearest_vectors(units: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
     """(group_id, id, neighbour, similarity, place): the k most similar vectors of every vector.
 
@@ -265,73 +348,12 @@ def nearest_vectors(units: DataFrame, indexes: dict[str, Index], k: int) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array((cell + first).astype(np.int32)), taken.column("group_id"), taken.column("id"), pa.array(use.astype(np.int32)), taken.column("code")], ["cell", "group_id", "id", "role", "code"])
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        role = table.column("role").to_numpy()
-        x = _decoded(table.column("code").combine_chunks())
-        order = np.argsort(ids, kind="stable")
-        ids, role, x = ids[order], role[order], x[order]
-        posts, queries = np.flatnonzero(role & POSTING), np.flatnonzero(role & QUERY)
-        empty = pa.table({"group_id": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        if not len(posts) or not len(queries):
-            return empty
-        lists = max(1.0, len(posts) / LIST)
-        fit = posts[:: max(1, int(len(posts) / (lists * FIT_ROWS)))]
-        index = Index(balanced_centres(x[fit], len(fit) / lists))
-        entries: dict[str, list[np.ndarray]] = {"post": [], "probe": []}
-        for at in range(0, len(x), 1024):
-            numbers, posted, probed = index.chosen(x[at : at + 1024], LISTS)
-            for kind, bit, chosen in (("post", POSTING, posted), ("probe", QUERY, probed)):
-                row, column = np.nonzero(chosen & ((role[at : at + 1024] & bit) > 0)[:, None])
-                entries[kind].append(np.stack([numbers[row, column], row + at]))
-        by_list = {}
-        for kind, found in entries.items():
-            number, row = np.concatenate(found, axis=1)
-            at = np.argsort(number, kind="stable")
-            by_list[kind] = np.split(row[at], np.searchsorted(number[at], np.arange(1, len(index.centres))))
-        candidates = []
-        position = np.full(len(x), -1)
-
-        def ask(asking: np.ndarray, held_here: np.ndarray) -> None:
-            take = min(k + 2, len(held_here))
-            position[held_here] = np.arange(len(held_here))
-            against = np.ascontiguousarray(x[held_here].T)
-            for at in range(0, len(asking), 512):
-                q = asking[at : at + 512]
-                sims = x[q] @ against
-                itself = np.flatnonzero(position[q] >= 0)
-                sims[itself, position[q[itself]]] = -9.0
-                best = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take < sims.shape[1] else np.broadcast_to(np.arange(take), (len(q), take))
-                candidates.append((np.repeat(q, take), held_here[best].ravel(), np.take_along_axis(sims, best, 1).ravel()))
-            position[held_here] = -1
-
-        room = np.zeros(len(x), np.int64)
-        for held_here, asking in zip(by_list["post"], by_list["probe"]):
-            if len(held_here) and len(asking):
-                ask(asking, held_here)
-                room[asking] = np.maximum(room[asking], len(held_here))
-        # A query whose lists are all too short for k others is compared with the whole cell.
-        short = queries[room[queries] < k + 1]
-        if len(short):
-            ask(short, posts)
-        if not candidates:
-            return empty
-        q, p, sim = (np.concatenate(c) for c in zip(*candidates))
-        real = sim > -8.0
-        q, p, sim = q[real], p[real], np.round(sim[real].astype(np.float64), 6)
-        order = np.lexsort((-sim, p, q))
-        q, p, sim = q[order], p[order], sim[order]
-        once = np.ones(len(q), bool)
-        once[1:] = (q[1:] != q[:-1]) | (p[1:] != p[:-1])
-        q, p, sim = q[once], p[once], sim[once]
-        order = np.lexsort((p, -sim, q))  # rows are in the order of ids
-        q, p, sim = q[order], p[order], sim[order]
-        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
-        name = table.column("group_id")[0].as_py()
-        return pa.table({"group_id": pa.array([name] * int(kept.sum()), pa.string()), "id": pa.array(ids[q[kept]], pa.int64()), "neighbour": pa.array(ids[p[kept]], pa.int64()), "similarity": pa.array(sim[kept], pa.float64())})
-
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found, neighbours, similarity = cell_neighbours(table.column("id").to_numpy(), table.column("role").to_numpy(), _decoded(table.column("code").combine_chunks()), k)
+        return pa.table({"group_id": pa.array([table.column("group_id")[0].as_py()] * len(found), pa.string()), "id": pa.array(found, pa.int64()), "neighbour": pa.array(neighbours, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
+
     routed = rows.mapInArrow(route, "cell int, group_id string, id long, role int, code binary")
-    near = routed.repartition(max(tasks, min(cells, 8 * tasks)), "cell").groupBy("cell").applyInArrow(compare, "group_id string, id long, neighbour long, similarity double")
+    # A partition for each cell, so no task gets several by chance.
+    near = routed.repartitionById(cells, F.col("cell")).groupBy("cell").applyInArrow(compare, "group_id string, id long, neighbour long, similarity double") if cells else routed.select("group_id", "id", F.lit(None).cast("long").alias("neighbour"), F.lit(None).cast("double").alias("similarity"))
     # The same neighbour may come from several cells; a query has at most k * cells candidates.
     met = near.repartition("group_id", "id").groupBy("group_id", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = met.groupBy("group_id", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("away"), "neighbour"))), 1, k).alias("b"))
