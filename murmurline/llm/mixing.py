@@ -1,14 +1,16 @@
 """Mixing sources to target shares of all tokens, small ones repeated a capped number of times.
 
-Budgets come from a tree (domain, source, language): weights add up from the leaves, the total budget
+Budgets come from a tree (domain, language, source): weights add up from the leaves, the total budget
 flows down from the root, and at each node children that can't use their part pass it to their
-siblings by weight; only what a whole node can't use reaches its parent's other children.  Each leaf
-then takes its budget as a token prefix of seeded epochs: whole epochs first, then the beginning of one
-more in that epoch's own order.
+siblings by weight; only what a whole node can't use reaches its parent's other children.  A source's
+target is divided among its leaves by the tokens it holds in each language, so its leaves add up to the
+target unless the source as a whole is short.  Each leaf then takes its budget as a token prefix of
+seeded epochs: whole epochs first, then the beginning of one more in that epoch's own order.
 
-The tree has one leaf for each (source, language) and is planned on the driver; texts never leave the
+The tree has one leaf for each (language, source) and is planned on the driver; texts never leave the
 executors.  A prefix is found by a histogram over hash buckets and the exact order inside the one
-bucket where the budget ends, so a leaf may hold any share of the texts.
+bucket where the budget ends, so a leaf may hold any share of the texts.  The sizes are kept once in the
+shared checkpoint folder, as every step reads them and counting tokens is what costs most.
 
 Defined results: a source without a target, or with a NULL source, is not used; a target without texts
 is reported with share 0; texts without tokens are not used; repeated ids count as texts of their own
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from murmurline.session import cut_lineage
+
 BUCKETS = 1 << 14
 
 
@@ -105,31 +109,32 @@ def mixed_selection(sizes: DataFrame, targets: DataFrame, domains: dict[str, str
     """
     goals = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.collect() if r["source"] is not None and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
     rows = sizes.select("id", "source", language_code(F.col("lang")).alias("lang"), F.col("tokens").cast("long").alias("tokens")).filter(F.col("source").isin(list(goals)) & (F.col("tokens") > 0))
+    rows = cut_lineage(rows)
     held = {(r["source"], r["lang"]): r["tokens"] for r in rows.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).collect()}
     by_source: dict[str, int] = {}
     for (source, _), tokens in held.items():
         by_source[source] = by_source.get(source, 0) + tokens
-    leaves = {(domains.get(s, "other"), s, lang): (goals[s][0] * tokens / by_source[s], tokens * goals[s][1]) for (s, lang), tokens in held.items()}
+    leaves = {(domains.get(s, "other"), lang, s): (goals[s][0] * tokens / by_source[s], tokens * goals[s][1]) for (s, lang), tokens in held.items()}
     wanted = _reachable_total(goals, by_source, smallest) if total is None else total
-    budgets = {(path[1], path[2]): b for path, b in plan(leaves, wanted).items()} if leaves else {}
+    budgets = {(source, lang): b for (_, lang, source), b in plan(leaves, wanted).items()} if leaves else {}
 
     spark = sizes.sparkSession
     table = [(s, lang, held[s, lang] and budgets[s, lang] // held[s, lang], budgets[s, lang] % held[s, lang]) for s, lang in sorted(budgets)]
     leaf = spark.createDataFrame(table, "source string, lang string, epochs long, rest long")
     # One row a leaf, that is at most (sources with a target) x 677 language codes.
-    placed = rows.join(F.broadcast(leaf), ["source", "lang"]).withColumn("order", F.xxhash64(F.lit(seed), "epochs", "id"))
-    placed = placed.withColumn("bucket", F.shiftright(F.col("order"), 50))
-    buckets = placed.groupBy("source", "lang", "bucket").agg(F.sum("tokens").alias("in_bucket"))
+    order = F.xxhash64(F.lit(seed), "epochs", "id")
+    placed = rows.join(F.broadcast(leaf), ["source", "lang"]).withColumn("order", order).withColumn("bucket", F.shiftright(F.col("order"), 50))
+    buckets = placed.groupBy("source", "lang", "rest", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     upto = F.sum("in_bucket").over(Window.partitionBy("source", "lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marks = buckets.select("source", "lang", "bucket", (upto - F.col("in_bucket")).alias("below"), upto.alias("upto"))
-    # At most BUCKETS rows a leaf.
-    met = placed.join(marks, ["source", "lang", "bucket"])
-    columns = ["id", "source", "tokens", "epochs", "rest", "below", "order", "lang", "bucket"]
-    inside = met.filter(F.col("upto") <= F.col("rest")).select(*columns).withColumn("taken", F.lit(1))
-    outside = met.filter(F.col("below") >= F.col("rest")).select(*columns).withColumn("taken", F.lit(0))
-    running = F.sum("tokens").over(Window.partitionBy("source", "lang", "bucket").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = met.filter((F.col("below") < F.col("rest")) & (F.col("upto") > F.col("rest"))).withColumn("taken", F.when(F.col("below") + running <= F.col("rest"), 1).otherwise(0)).select(*columns, "taken")
-    used = inside.unionByName(outside).unionByName(edge).select("id", "source", "tokens", (F.col("epochs") + F.col("taken")).cast("int").alias("uses"))
+    # The budget ends inside the first bucket that passes it: one row a leaf, as the rest is less than the leaf holds.
+    passed = buckets.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
+    edges = passed.groupBy("source", "lang").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("in_bucket")).alias("below"))).alias("e")).select("source", "lang", F.col("e.bucket").alias("edge"), F.col("e.below").alias("below"))
+    met = placed.join(F.broadcast(edges), ["source", "lang"])
+    running = F.sum("tokens").over(Window.partitionBy("source", "lang").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Only the rows of the edge buckets are put in order, about one in BUCKETS.
+    edge = met.filter(F.col("bucket") == F.col("edge")).withColumn("taken", F.when(F.col("below") + running <= F.col("rest"), 1).otherwise(0))
+    others = met.filter(F.col("bucket") != F.col("edge")).withColumn("taken", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
+    used = others.unionByName(edge).select("id", "source", "tokens", (F.col("epochs") + F.col("taken")).cast("int").alias("uses"))
     selection = used.filter("uses > 0")
 
     wanted_shares = spark.createDataFrame([(s, w, m, by_source.get(s, 0)) for s, (w, m) in sorted(goals.items())], "source string, target_share double, max_repeats int, held_tokens long")
