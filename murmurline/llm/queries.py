@@ -13,7 +13,8 @@ SCORES = {"mention_growth": 0.25, "sentiment_momentum": 0.25, "topic_velocity":
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = table(spark, sf_dir, "daily_panel")
-    latest = panel.groupBy("date", "entity_id").agg(F.max(F.struct("computed_at", *SCORES)).alias("r"))
+    # Sorted once, behind the shuffle: hardly any two rows of a key meet before it.
+    latest = panel.select("date", "entity_id", "computed_at", *SCORES).repartition("date", "entity_id").groupBy("date", "entity_id").agg(F.max(F.struct("computed_at", *SCORES)).alias("r"))
     return score_fusion.fused_scores(latest.select("date", "entity_id", *[F.col(f"r.{s}").alias(s) for s in SCORES]), "date", "entity_id", SCORES)
 
 

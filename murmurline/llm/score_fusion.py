@@ -4,14 +4,14 @@ Each score becomes its empirical percentile within its group (ties share the ave
 goes through the inverse normal distribution, and items are ordered by the weighted mean of the
 results, so no score counts more for its range or tails.
 
-A group may hold any share of all rows and is never sorted in one task: equal values are counted first,
-values are ranked inside buckets cut from their own bits (sign, exponent, leading fraction), and
-the rows below each bucket are added from a small histogram.
+A group may hold any share of all rows and is never sorted in one task: rows are ranked inside buckets cut
+from their value's own bits (sign, exponent, leading fraction), and the rows below each bucket are added
+from a small histogram.
 
 Defined results: NULL and NaN scores are left out of their score's percentiles and count neither for
 nor against the item; an item without any score has a NULL fused score and comes last; infinities rank
 as the extremes; equal fused scores are settled by the smaller key; a score held by one item only has
-percentile 0.5; an empty input gives no row.
+percentile 0.5; rows with a NULL group are left out; an empty input gives no row.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmurline.functions.ranks import places, value_ranks
+from murmurline.functions.ranks import places, ranked_rows
+from murmurline.session import cut_lineage
 
 # The rational approximations of the inverse normal distribution in algorithm AS 241 (PPND16).
 CENTRE_TOP = (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3)
@@ -53,9 +54,8 @@ def percentile_ranks(long: DataFrame, group: list[str]) -> DataFrame:
 
     ``long`` has no NULL values.
     """
-    ranks = value_ranks(long, group)
     percentile = (F.col("below") + F.col("held") / 2.0) / F.col("total")
-    return long.join(ranks.select(*group, "value", percentile.alias("percentile")), [*group, "value"])
+    return ranked_rows(long, group).select(*long.columns, percentile.alias("percentile"))
 
 
 def fused_scores(df: DataFrame, group: str, item: str, scores: dict[str, float]) -> DataFrame:
@@ -64,19 +64,25 @@ def fused_scores(df: DataFrame, group: str, item: str, scores: dict[str, float])
     ``scores`` maps a numeric column to its weight.  ``df`` has one row for each (group, item).
     """
     names = list(scores)
-    base = df.select(F.col(group).alias("group_id"), F.col(item).alias("item_id"), *[F.col(n).cast("double").alias(f"s{i}") for i, n in enumerate(names)])
-    entries = F.array(*[F.struct(F.lit(i).alias("score_no"), (F.col(f"s{i}") + F.lit(0.0)).alias("value")) for i in range(len(names))])
-    long = base.select("group_id", "item_id", F.inline(entries))
-    weights = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (i, float(scores[n]))])
-    known = long.filter("value IS NOT NULL AND NOT isnan(value)")
+    # Every score reads the rows again, for its counts and for its ranks.
+    base = cut_lineage(df.filter(F.col(group).isNotNull()).select(F.col(group).alias("group_id"), F.col(item).alias("item_id"), *[(F.col(n).cast("double") + F.lit(0.0)).alias(f"s{i}") for i, n in enumerate(names)]))
+    entries = F.array(*[F.struct(F.lit(i).cast("byte").alias("score_no"), F.col(f"s{i}").alias("value")) for i in range(len(names))])
+    known = base.select("group_id", "item_id", F.inline(entries)).filter("value IS NOT NULL AND NOT isnan(value)")
     normal = percentile_ranks(known, ["group_id", "score_no"]).select("group_id", "item_id", "score_no", inverse_normal(F.col("percentile")).alias("z"))
-    # All scores of an item meet again; the fold over score numbers makes the sum independent of row order.
-    missing = long.filter("value IS NULL OR isnan(value)").select("group_id", "item_id", "score_no", F.lit(None).cast("double").alias("z"))
-    met = normal.unionByName(missing).groupBy("group_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("score_no", "z"))).alias("zs"))
-    known_zs = F.filter("zs", lambda x: x["z"].isNotNull())
-    total = F.aggregate(known_zs, F.lit(0.0), lambda acc, x: acc + x["z"] * F.element_at(weights, x["score_no"]))
-    weight = F.aggregate(known_zs, F.lit(0.0), lambda acc, x: acc + F.element_at(weights, x["score_no"]))
-    return met.select("group_id", "item_id", F.when(weight > 0, total / weight).alias("fused"), F.size(known_zs).alias("used"))
+    # All scores of an item meet again; a column for each makes the sum independent of row order.
+    none = F.lit(True)
+    for i in range(len(names)):
+        none = none & (F.col(f"s{i}").isNull() | F.isnan(f"s{i}"))
+    without = base.filter(none).select("group_id", "item_id", F.lit(-1).cast("byte").alias("score_no"), F.lit(None).cast("double").alias("z"))
+    met = normal.unionByName(without).groupBy("group_id", "item_id")
+    wide = met.agg(*[F.max(F.when(F.col("score_no") == i, F.col("z"))).alias(f"z{i}") for i in range(len(names))])
+    total, weight, used = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for i, n in enumerate(names):
+        there = F.col(f"z{i}").isNotNull()
+        total = total + F.when(there, F.col(f"z{i}") * float(scores[n])).otherwise(0.0)
+        weight = weight + F.when(there, float(scores[n])).otherwise(0.0)
+        used = used + there.cast("int")
+    return wide.select("group_id", "item_id", F.when(weight > 0, total / weight).alias("fused"), used.alias("used"))
 
 
 def best_of_groups(fused: DataFrame) -> DataFrame:
