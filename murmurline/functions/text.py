@@ -20,8 +20,8 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C; ASCII text never leaves the JVM."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfc(text))
+    """Unicode normal form C; of ASCII texts only a NULL leaves the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def canonical(text: Column) -> Column:
@@ -80,13 +80,41 @@ def parse_utc(text: Column) -> Column:
     return F.transform(F.array(parts), instant)[0]
 
 
-def finite(value: Column) -> Column:
-    """A number, or NULL for NaN, infinities and what can't be cast."""
-    x = value.try_cast("double")
-    return F.when(F.abs(x) < float("inf"), x)
+#: Day, month, year, hour, minute, second, zone; a weekday in front says nothing more.
+_MAIL = r"(?i)^\s*(?:[a-z]{3,9},?\s+)?([0-9]{1,2})\s+([a-z]{3})[a-z]*\s+([0-9]{4})\s+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:\s+([a-z]{1,5}|[+-][0-9]{2}:?[0-9]{2}))?\s*$"
+# The months and the zones in minutes from UTC that mail and feed dates may name.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+ZONES = {"": 0, "ut": 0, "utc": 0, "gmt": 0, "z": 0, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420}
 
 
-def bounded(phrase: str, ignore_case: bool) -> str:
-    """A pattern that finds ``phrase`` as whole words, without look-around."""
-    escaped = "".join(c if c.isalnum() or c.isspace() or ord(c) > 127 else "\\" + c for c in phrase)
-    return ("(?iu)" if ignore_case else "") + r"(^|[^\p{L}\p{N}_])" + escaped + r"($|[^\p{L}\p{N}_])"
+def mail_time(text: Column) -> Column:
+    """Dates of mails and feeds (RFC 822) as instants, without a zone in UTC; an unknown zone or anything else is NULL."""
+
+    def instant(p: Column) -> Column:
+        number = lambda i: F.coalesce(F.nullif(p[i], F.lit("")).cast("int"), F.lit(0))
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), p[1]).cast("int")
+        day = F.try_to_timestamp(F.concat_ws("-", p[2], F.lpad(month.cast("string"), 2, "0"), F.lpad(p[0], 2, "0")), F.lit("yyyy-MM-dd"))
+        named = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), p[6])
+        digits = F.replace(p[6], F.lit(":"), F.lit(""))
+        signed = (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")) * F.when(digits.startswith("-"), -1).otherwise(1)
+        offset = F.when(p[6].rlike("^[+-]"), signed).otherwise(named)
+        right = (number(3) < 24) & (number(4) < 60) & (number(5) < 60)
+        return F.when(right, F.timestamp_micros((F.unix_seconds(day) + number(3) * 3600 + number(4) * 60 + number(5) - offset * 60).cast("long") * 1_000_000))
+
+    parts = F.when(text.rlike(_MAIL), F.split(F.lower(F.regexp_replace(text, _MAIL, "$1|$2|$3|$4|$5|$6|$7")), r"\|", -1))
+    return F.transform(F.array(parts), instant)[0]
+
+
+def feed_time(text: Column) -> Column:
+    """The instant of a feed's date: ISO 8601 or RFC 822; anything else is NULL."""
+    return F.coalesce(parse_utc(text), mail_time(text))
+
+
+def number(value: Column) -> Column:
+    """A number, infinities included, or NULL for NaN and what can't be cast."""
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
+
+
+def whole_number(value: Column) -> Column:
+    """The integer part of a number, or NULL where there is none."""
+    return number(value).try_cast("bigint")

@@ -2,9 +2,11 @@
 
 Texts with equal token sets are one class, which its smallest id represents; only representatives are
 compared.  Two sets at similarity t or more share a token among the rarest ``size - ceil(t * size) + 1``
-of each (prefix filter), so only these are joined; candidates must also agree in size, and the exact
-similarity is then computed.  No link between different texts is lost, and copies are not expanded
-into pairs.
+of each (prefix filter), so only these are joined, and only sets whose sizes can be that similar: sizes
+fall into bands, and the smaller set looks into its own band and the next.  A frequent token is thereby
+split by size, and what still meets must agree in size and in what can follow the shared token's place
+in both (positional filter), before the exact similarity is computed from the sets.  No link between
+different texts is lost, and copies are not expanded into pairs.
 
 Defined results: NULL texts and texts with fewer than ``least`` tokens take no part; repeated ids count
 once; ties in token frequency are settled by the token; an empty table gives no row.
@@ -12,6 +14,8 @@ once; ties in token frequency are settled by the token; an empty table gives no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +35,22 @@ def similar_classes(members: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id_a, id_b, similarity), a < b: pairs of class representatives at ``threshold`` or more."""
     # The sets are read for the prefixes and once for either side of the candidates.
     reps = cut_lineage(members.filter("id = class_id").select("id", "tokens", F.size("tokens").alias("n")))
-    words = reps.select("id", "n", F.explode("tokens").alias("token"))
+    # Tokens travel as hashes; two tokens with one hash only make more candidates.
+    words = reps.select("id", "n", F.explode(F.transform("tokens", lambda w: F.xxhash64(w))).alias("token"))
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = words.join(frequency, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = ordered.select("id", "n", F.explode(F.slice("t", F.lit(1), length)).alias("p")).select("id", "n", F.col("p.token").alias("token"))
-    a, b = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token"), prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
-    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
-    candidates = a.join(b, "token").filter((F.col("id_a") < F.col("id_b")) & sizes).select("id_a", "id_b").distinct()
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9).cast("int")
+    prefix = ordered.select("id", "n", band.alias("band"), F.posexplode(F.slice("t", F.lit(1), length)).alias("at", "p")).select("id", "n", "band", "at", F.col("p.token").alias("token"))
+    # Sizes up to n / threshold lie in the band of n or the next; one more is for rounding at the edge.
+    small = prefix.select(F.col("id").alias("id_s"), F.col("n").alias("n_s"), F.col("at").alias("at_s"), "token", F.explode(F.sequence("band", F.col("band") + 2)).alias("band"))
+    large = prefix.select(F.col("id").alias("id_l"), F.col("n").alias("n_l"), F.col("at").alias("at_l"), "token", "band")
+    other = (F.col("n_s") < F.col("n_l")) | ((F.col("n_s") == F.col("n_l")) & (F.col("id_s") < F.col("id_l")))
+    sizes = F.col("n_s") >= F.col("n_l") * threshold - 1e-9
+    shared_needed = threshold / (1 + threshold) * (F.col("n_s") + F.col("n_l")) - 1e-9
+    # At most so many tokens can be shared before the one they meet at, and with and after it.
+    reach = F.least(F.col("at_s"), F.col("at_l")) + F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
+    candidates = small.join(large, ["token", "band"]).filter(other & sizes & (reach >= shared_needed)).select(F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b")).distinct()
     sets = reps.select("id", "tokens")
     met = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("tokens").alias("t_a")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("tokens").alias("t_b")), "id_b")
     shared = F.size(F.array_intersect("t_a", "t_b"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from murmurline.functions.engagement import engagement_value
-from murmurline.functions.ranks import places, value_ranks
+from murmurline.functions.ranks import places, ranked_rows
 from murmurline.params import SignalParams
 from murmurline.session import cut_lineage
 
@@ -55,10 +55,14 @@ def stale_rows(df: DataFrame, params: SignalParams) -> DataFrame:
 
 def daily_entity_aggregates(links: DataFrame, params: SignalParams) -> DataFrame:
     """(entity_id, day, mentions, sentiment, engagement) over fresh links, weighted by confidence."""
+    return _aggregates(fresh(links, params).withColumn("engaged", engagement_value(F.col("engagement"))))
+
+
+def _aggregates(day_links: DataFrame) -> DataFrame:
     c, s = F.col("confidence"), F.col("sentiment")
     scored = F.sum(F.when(s.isNotNull(), exact(c)))
-    grouped = fresh(links, params).groupBy("entity_id", "day").agg(
-        F.coalesce(F.sum(exact(c)), F.lit(0)).cast(EXACT).alias("mentions"), F.sum(exact(c * s)).alias("weighted"), scored.alias("scored"), F.coalesce(F.sum(exact(c * engagement_value(F.col("engagement")))), F.lit(0)).cast(EXACT).alias("engagement")
+    grouped = day_links.groupBy("entity_id", "day").agg(
+        F.coalesce(F.sum(exact(c)), F.lit(0)).cast(EXACT).alias("mentions"), F.sum(exact(c * s)).alias("weighted"), scored.alias("scored"), F.coalesce(F.sum(exact(c * F.col("engaged"))), F.lit(0)).cast(EXACT).alias("engagement")
     )
     sentiment = F.when(F.coalesce(F.col("scored"), F.lit(0)) != 0, F.col("weighted").cast("double") / F.col("scored").cast("double"))
     return grouped.select("entity_id", "day", "mentions", sentiment.alias("sentiment"), "engagement")
@@ -75,13 +79,15 @@ def origin_day(links: DataFrame, params: SignalParams) -> str | None:
     return str(row["origin"]) if row and row["origin"] is not None else None
 
 
-def dense_series(aggregates: DataFrame, entities: DataFrame, origin: str | None, end_day: str) -> DataFrame:
+def dense_series(aggregates: DataFrame, entities: DataFrame, origin: str | None, end_day: str, start: str | None = None) -> DataFrame:
     """Every entity on every day from the origin to ``end_day``, zero mentions and engagement where nothing happened.
 
-    Without an origin, or with one after ``end_day``, there is no row.
+    With ``start``, days before it are left out, while the history still counts from the origin.  Without an origin,
+    or with one after ``end_day``, there is no row.
     """
     first, last = F.to_date(F.lit(origin)), F.to_date(F.lit(end_day))
-    spine = entities.select(F.col("id").alias("entity_id")).distinct().filter(first <= last).select("entity_id", first.alias("origin"), F.explode(F.sequence(first, last)).alias("day"))
+    begin = first if start is None else F.greatest(first, F.to_date(F.lit(start)))
+    spine = entities.select(F.col("id").alias("entity_id")).distinct().filter(begin <= last).select("entity_id", first.alias("origin"), F.explode(F.sequence(begin, last)).alias("day"))
     zero = F.lit(0).cast(EXACT)
     return spine.join(aggregates, ["entity_id", "day"], "left").select("entity_id", "day", F.datediff("day", "origin").alias("history"), F.unix_date("day").alias("day_no"), F.coalesce("mentions", zero).alias("mentions"), "sentiment", F.coalesce("engagement", zero).alias("engagement"))
 
@@ -125,16 +131,22 @@ def version_spans(versions: DataFrame, end_day: str) -> DataFrame:
     return of_day.withColumn("until", until).filter("from_day <= until").select("version", F.explode(F.sequence("from_day", "until")).alias("day"))
 
 
-def topic_velocity(links: DataFrame, topic_rows: DataFrame, versions: DataFrame, origin: str | None, end_day: str, params: SignalParams) -> DataFrame:
-    """(entity_id, day, topic_velocity): mean growth of the day's topics, weighted by confidence x probability."""
+def topic_velocity(links: DataFrame, topic_rows: DataFrame, versions: DataFrame, origin: str | None, end_day: str, params: SignalParams, after: str | None = None) -> DataFrame:
+    """(entity_id, day, topic_velocity): mean growth of the day's topics, weighted by confidence x probability.
+
+    Only days after ``after`` come out, if it is given; the rows of the window before it are still needed.
+    """
+    return _velocity(fresh(links, params).select("document_id", "entity_id", "confidence", "day"), topic_rows, versions, origin, end_day, params, after)
+
+
+def _velocity(day_links: DataFrame, topic_rows: DataFrame, versions: DataFrame, origin: str | None, end_day: str, params: SignalParams, after: str | None = None) -> DataFrame:
     spans = version_spans(versions, end_day)  # one row a day
-    day_links = fresh(links, params).select("document_id", "entity_id", "confidence", "day").join(F.broadcast(spans), "day")
+    asked_links = day_links if after is None else day_links.filter(F.col("day") > F.to_date(F.lit(after)))
     assigned = topic_rows.select("version", "document_id", "topic_id", "probability")
-    met = day_links.join(assigned, ["version", "document_id"])
-    mass = met.groupBy("entity_id", "day", "version", "topic_id").agg(F.sum(exact(F.col("confidence") * F.col("probability"))).cast(EXACT).alias("mass"))
-    weights = topic_day_weights(topic_rows, params)
+    met = asked_links.join(F.broadcast(spans), "day").join(assigned, ["version", "document_id"])
+    mass = cut_lineage(met.groupBy("entity_id", "day", "version", "topic_id").agg(F.sum(exact(F.col("confidence") * F.col("probability"))).cast(EXACT).alias("mass")))
     asked = mass.select("version", "topic_id", "day", F.lit(0).cast(EXACT).alias("weight"))
-    series = weights.unionByName(asked).groupBy("version", "topic_id", "day").agg(F.sum("weight").cast(EXACT).alias("weight"))
+    series = topic_day_weights(topic_rows, params).unionByName(asked).groupBy("version", "topic_id", "day").agg(F.sum("weight").cast(EXACT).alias("weight"))
     start = F.to_date(F.lit(origin))
     clipped = series.filter(F.col("day") >= start).withColumns({"history": F.datediff("day", start), "day_no": F.unix_date("day")})
     rates = clipped.select("version", "topic_id", "day", growth(F.col("weight"), ["version", "topic_id"], params).alias("rate")).filter("rate IS NOT NULL")
@@ -146,10 +158,9 @@ def centred_ranks(df: DataFrame, group: str, item: str, columns: list[str]) -> D
     """(group, item, <column>_rank...): average ranks of the group's non-NULL values scaled to [-1, 1]; one value alone: 0."""
     entries = F.array(*[F.struct(F.lit(i).alias("no"), (F.round(F.col(c), 9) + F.lit(0.0)).alias("value")) for i, c in enumerate(columns)])
     long = df.select(group, item, F.inline(entries)).filter("value IS NOT NULL AND NOT isnan(value)")
-    ranks = value_ranks(long, [group, "no"])
     middle = (F.col("total") + 1) / 2.0
     centred = F.when(F.col("total") == 1, 0.0).otherwise((F.col("below") + (F.col("held") + 1) / 2.0 - middle) / ((F.col("total") - 1) / 2.0))
-    placed = long.join(ranks.select(group, "no", "value", centred.alias("rank")), [group, "no", "value"])
+    placed = ranked_rows(long, [group, "no"]).select(group, item, "no", centred.alias("rank"))
     wide = placed.groupBy(group, item).agg(*[F.max(F.when(F.col("no") == i, F.col("rank"))).alias(f"{c}_rank") for i, c in enumerate(columns)])
     return df.select(group, item).join(wide, [group, item], "left")
 
@@ -164,21 +175,35 @@ def composite(weights: dict[str, float]) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
-def components(links: DataFrame, topic_rows: DataFrame, versions: DataFrame, entities: DataFrame, end_day: str, params: SignalParams) -> DataFrame:
-    """(entity_id, date, the four components) of every active entity and closed day."""
-    origin = origin_day(links, params)
-    dense = dense_series(daily_entity_aggregates(links, params), entities.filter("active"), origin, end_day)
+def components(links: DataFrame, topic_rows: DataFrame, versions: DataFrame, entities: DataFrame, end_day: str, params: SignalParams, origin: str | None = None, after: str | None = None) -> DataFrame:
+    """(entity_id, date, the four components) of every active entity and closed day.
+
+    Links and topic rows are read once each; what is kept of them has no text.  With ``after``, a day, only later days come
+    out; ``origin`` is then the panel's first day, and the inputs need only hold what became known from one window before.
+    """
+    day_links = cut_lineage(fresh(links, params).select("document_id", "entity_id", "confidence", "sentiment", engagement_value(F.col("engagement")).alias("engaged"), "day"))
+    aggregates = cut_lineage(_aggregates(day_links))
+    topic_rows = cut_lineage(topic_rows.select("document_id", "topic_id", "version", "probability", "ingested_at", "published_at"))
+    if origin is None:
+        row = aggregates.agg(F.min("day").cast("string").alias("origin")).first()
+        origin = row["origin"]
+    start = None if after is None else _shifted(links, after, 1 - params.window_days)
+    dense = dense_series(aggregates, entities.filter("active"), origin, end_day, start)
     key = ["entity_id"]
     measured = dense.select("entity_id", "day", growth(F.col("mentions"), key, params).alias("mention_growth"), momentum(F.col("sentiment"), key, params).alias("sentiment_momentum"), growth(F.col("engagement"), key, params).alias("engagement_growth"))
-    velocity = topic_velocity(links, topic_rows, versions, origin, end_day, params)
-    met = measured.join(velocity, ["entity_id", "day"], "left")
-    return met.select("entity_id", F.col("day").alias("date"), *COMPONENTS)
+    velocity = _velocity(day_links, topic_rows, versions, origin, end_day, params, after)
+    met = measured.join(velocity, ["entity_id", "day"], "left").select("entity_id", F.col("day").alias("date"), *COMPONENTS)
+    return met if after is None else met.filter(F.col("date") > F.to_date(F.lit(after)))
+
 
+def _shifted(df: DataFrame, day: str, by: int) -> str:
+    return df.sparkSession.range(1).select(F.date_add(F.to_date(F.lit(day)), by).cast("string").alias("d")).first()["d"]
 
-def build_panel(links: DataFrame, topic_rows: DataFrame, versions: DataFrame, entities: DataFrame, end_day: str, params: SignalParams | None = None) -> DataFrame:
-    """(entity_id, date, components, score, rank): the panel of all closed days up to ``end_day``."""
+
+def build_panel(links: DataFrame, topic_rows: DataFrame, versions: DataFrame, entities: DataFrame, end_day: str, params: SignalParams | None = None, origin: str | None = None, after: str | None = None) -> DataFrame:
+    """(entity_id, date, components, score, rank): the panel of the closed days up to ``end_day``, all or those after ``after``."""
     params = params or SignalParams()
-    parts = components(links, topic_rows, versions, entities, end_day, params)
+    parts = components(links, topic_rows, versions, entities, end_day, params, origin, after)
     return ranked_panel(parts, params)
 
 
@@ -192,8 +217,3 @@ def ranked_panel(parts: DataFrame, params: SignalParams) -> DataFrame:
     scored = parts.join(ranks, ["date", "entity_id"]).withColumn("score", composite(params.weights))
     placed = places(cut_lineage(scored.withColumn("rounded", F.round("score", 9))), "date", "entity_id", "rounded")
     return placed.select("entity_id", "date", *COMPONENTS, "score", F.when(F.col("score").isNotNull(), F.col("place")).cast("int").alias("rank"))
-
-
-def incremental_days(panel: DataFrame, watermark: str | None, rebuild: bool = False) -> DataFrame:
-    """The days a run writes: all on a rebuild or without a watermark, else those after it."""
-    return panel if rebuild or watermark is None else panel.filter(F.col("date") > F.to_date(F.lit(watermark)))

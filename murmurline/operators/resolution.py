@@ -1,14 +1,16 @@
 """Links from documents to entities, by cash tag, ticker and name, without a documents x entities loop.
 
-The dictionary becomes one row for each phrase with its words.  Documents are cut into words once; the
-first word of each phrase is joined with the documents' words, and only where it meets the whole
-phrase is looked for in the text and verified by a pattern.  The universe may be of any size.
+The dictionary becomes one row for each phrase.  A text is cut into overlapping pieces, one for each word: the character
+before it, the word and as many words behind it as the longest phrase has.  Pieces meet phrases by their first word, or
+first two, and a phrase is then compared with the piece's own characters, so no text is copied or fetched again, a
+frequent first word alone finds no longer phrase, and the universe may be of any size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from murmurline.functions.text import document_text, nfc
 
@@ -24,40 +26,57 @@ WORD, OUTSIDE = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]"
 
 
 def dictionary(entities: DataFrame, ambiguous: tuple[str, ...] = AMBIGUOUS_TICKERS) -> DataFrame:
-    """(entity_id, method, cased, needle, pattern, first): what names each active entity, and the first word of it.
+    """(entity_id, ticker, method, cased, needle, lead, words, key): what names each active entity, and the words it is found by.
 
-    ``entities`` has id, ticker, name, aliases and active; NULL aliases count as none, empty phrases are left out.
+    ``entities`` has id, ticker, name, aliases and active; NULL aliases count as none, phrases without a word are left out.
+    ``lead`` counts the characters before the first word.
     """
     e = entities.filter("active")
-    tickers = e.filter("ticker IS NOT NULL").select(F.col("id").alias("entity_id"), nfc(F.trim("ticker")).alias("phrase"))
-    cash = tickers.select("entity_id", F.lit("cashtag").alias("method"), "phrase")
-    plain = tickers.filter(~F.upper("phrase").isin(list(ambiguous))).select("entity_id", F.lit("ticker").alias("method"), "phrase")
-    names = e.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("phrase"))
-    alias = names.select("entity_id", F.lit("alias").alias("method"), nfc(F.trim("phrase")).alias("phrase"))
+    tickers = e.filter("ticker IS NOT NULL").select(F.col("id").alias("entity_id"), "ticker", nfc(F.trim("ticker")).alias("phrase"))
+    cash = tickers.select("entity_id", "ticker", F.lit("cashtag").alias("method"), "phrase")
+    plain = tickers.filter(~F.upper("phrase").isin(list(ambiguous))).select("entity_id", "ticker", F.lit("ticker").alias("method"), "phrase")
+    names = e.select(F.col("id").alias("entity_id"), "ticker", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("phrase"))
+    alias = names.select("entity_id", "ticker", F.lit("alias").alias("method"), nfc(F.trim("phrase")).alias("phrase"))
     phrases = cash.unionByName(plain).unionByName(alias).filter(F.length("phrase") > 0)
-    first = F.lower(F.regexp_extract("phrase", f"({WORD})", 1))
     cased = F.col("method") == "ticker"
     needle = F.concat(F.when(F.col("method") == "cashtag", "$").otherwise(""), F.when(cased, F.col("phrase")).otherwise(F.lower("phrase")))
-    # Whole words without look-around; the phrase itself is quoted.
-    pattern = F.concat(F.when(cased, "").otherwise("(?iu)"), F.lit(rf"(^|{OUTSIDE})\Q"), needle, F.lit(rf"\E($|{OUTSIDE})"))
-    return phrases.select("entity_id", "method", cased.alias("cased"), needle.alias("needle"), pattern.alias("pattern"), first.alias("first")).filter(F.length("first") > 0).distinct()
+    shaped = phrases.select("entity_id", "ticker", "method", cased.alias("cased"), needle.alias("needle")).distinct()
+    words = F.regexp_extract_all(F.lower("needle"), F.lit(f"({WORD})"))
+    shaped = shaped.select("*", F.length(F.regexp_extract("needle", f"^({OUTSIDE}*)", 1)).alias("lead"), words.alias("w")).filter(F.size("w") > 0)
+    return shaped.select("entity_id", "ticker", "method", "cased", "needle", "lead", F.size("w").alias("words"), F.array_join(F.slice("w", 1, 2), " ").alias("key"))
 
 
 def resolve(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     """(document_id, entity_id, confidence, method): the strongest match of each entity in each document.
 
-    ``documents`` has id, title and raw_text.  Texts without content have no links.
+    ``documents`` has id, title and raw_text.  Texts without content have no links; a phrase counts where no letter, digit or
+    underscore touches it.
     """
-    texts = documents.select(F.col("id").alias("document_id"), nfc(document_text(F.col("title"), F.col("raw_text"), " \n ")).alias("text")).filter(F.length("text") > 0)
-    words = texts.select("document_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})")))).alias("first"))
-    met = words.join(phrases, "first").filter(F.contains(F.when(F.col("cased"), F.col("text")).otherwise(F.lower("text")), F.col("needle")))
-    # Few rows are left for the patterns, which differ from row to row.
-    met = met.filter(F.expr("text rlike pattern"))
+    longest = phrases.agg(F.coalesce(F.max("words"), F.lit(1)).alias("n")).first()["n"]
+    # A word in front makes the start of the text a place like any other.
+    texts = documents.select(F.col("id").alias("document_id"), F.concat(F.lit("x "), nfc(document_text(F.col("title"), F.col("raw_text"), " \n "))).alias("text")).filter(F.length("text") > 2)
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?=({WORD[:-1]}{OUTSIDE}+{WORD}(?:{OUTSIDE}+{WORD}){{0,{longest - 1}}}(?:{OUTSIDE}+{WORD[:-1]}?)?))"), F.lit(1))
+    cut = texts.select("document_id", F.explode(pieces).alias("piece"))
+    low = F.lower(F.col("piece"))
+    first, second = (F.regexp_extract(low, rf"^{WORD[:-1]}{OUTSIDE}+{start}({WORD})", 1) for start in ("", rf"{WORD}{OUTSIDE}+"))
+    keyed = cut.select("document_id", "piece", F.explode(F.when(second == "", F.array(first)).otherwise(F.array(first, F.concat_ws(" ", first, second)))).alias("key"))
+    met = keyed.join(phrases, "key")
+    start = F.length(F.regexp_extract("piece", rf"^{WORD[:-1]}{OUTSIDE}+", 0)) + 1 - F.col("lead")
+    there = F.when(F.col("cased"), F.col("piece")).otherwise(F.lower("piece"))
+    same = there.substr(start, F.length("needle")) == F.col("needle")
+    # The first character is part of another word, so the phrase may not follow it at once.
+    free = (start > 2) & ~there.substr(start + F.length("needle"), F.lit(1)).rlike(WORD[:-1])
     strength = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("method"))
-    best = met.groupBy("document_id", "entity_id").agg(F.max(F.struct(strength.alias("confidence"), "method")).alias("m"))
+    best = met.filter(same & free).groupBy("document_id", "entity_id").agg(F.max(F.struct(strength.alias("confidence"), "method")).alias("m"))
     return best.select("document_id", "entity_id", "m.confidence", "m.method")
 
 
+def ranked_matches(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds ``ticker`` and ``place`` to each document's links: the surest first, equal ones by ticker."""
+    met = links.join(entities.select(F.col("id").alias("entity_id"), "ticker"), "entity_id")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("confidence").desc(), "ticker")))
+
+
 def precision_recall(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, f1 of two sets of pairs; empty denominators count as 1, f1 as 0."""
     p, e = predicted.select(*keys).distinct().withColumn("p", F.lit(1)), expected.select(*keys).distinct().withColumn("e", F.lit(1))

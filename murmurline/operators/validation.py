@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmurline.functions.ranks import value_ranks
+from murmurline.functions.ranks import ranked_rows
+from murmurline.session import cut_lineage
 
 
 def forward_returns(bars: DataFrame, sessions: int = 5) -> DataFrame:
@@ -22,8 +23,8 @@ def forward_returns(bars: DataFrame, sessions: int = 5) -> DataFrame:
 def rank_correlation(df: DataFrame, group: str, item: str, a: str, b: str) -> DataFrame:
     """(group, pairs, ic): Spearman correlation with averaged ties of each group's complete pairs; NULL for fewer than 3."""
     long = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, item, F.inline(F.array(*[F.struct(F.lit(i).alias("no"), (F.round(F.col(c), 9) + F.lit(0.0)).alias("value")) for i, c in enumerate((a, b))])))
-    ranks = value_ranks(long, [group, "no"]).select(group, "no", "value", (F.col("below") + (F.col("held") + 1) / 2.0).alias("rank"))
-    wide = long.join(ranks, [group, "no", "value"]).groupBy(group, item).agg(F.max(F.when(F.col("no") == 0, F.col("rank"))).alias("x"), F.max(F.when(F.col("no") == 1, F.col("rank"))).alias("y"))
+    ranked = ranked_rows(cut_lineage(long), [group, "no"]).select(group, item, "no", (F.col("below") + (F.col("held") + 1) / 2.0).alias("rank"))
+    wide = ranked.groupBy(group, item).agg(F.max(F.when(F.col("no") == 0, F.col("rank"))).alias("x"), F.max(F.when(F.col("no") == 1, F.col("rank"))).alias("y"))
     # Ranks are half integers, so these sums are exact in any order.
     s = wide.groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"))
     n = F.col("pairs")

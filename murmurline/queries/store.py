@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurline.functions.engagement import engagement_value
-from murmurline.functions.text import content_hash, document_text, parse_utc, strip_html
+from murmurline.functions.text import ZONES, content_hash, document_text, parse_utc, strip_html
 from murmurline.operators import enrich, instants, near_duplicates, quality, recon, resolution, topics, upserts, validation
 from murmurline.queries.panel import _latest_panel, links_of
 from murmurline.params import SignalParams
 from murmurline.operators.panel import COMPONENTS, ranked_panel
+from murmurline.session import cut_lineage
 from murmurline.sources import raw
 from murmurline.sources.tables import table
 
@@ -75,12 +76,12 @@ def near_duplicates_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.duplicate_rate(table(spark, sf_dir, "source_docs"), "id", "title").select("check_name", "status", "value")
+    return quality.duplicate_rate(table(spark, sf_dir, "source_docs"), "id", "title").select(*quality.RESULT)
 
 
 def duplicate_rate_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate rate of the whole table; ``duplicate_rate`` reports on recent rows."""
-    return quality.duplicate_rate(table(spark, sf_dir, "source_docs"), "id", "title", scanned=None).select("check_name", "status", "value")
+    return quality.duplicate_rate(table(spark, sf_dir, "source_docs"), "id", "title", scanned=None).select(*quality.RESULT)
 
 
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,34 +127,30 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir).filter(F.col("finished_at") <= _at())
-    return quality.freshness(table(spark, sf_dir, "sources"), runs, _at()).select("check_name", "source_name", "status", "value")
+    return quality.freshness(table(spark, sf_dir, "sources"), runs, _at()).select(*quality.RESULT)
 
 
 def volume_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.volume_anomaly(table(spark, sf_dir, "sources"), _runs(spark, sf_dir)).select("check_name", "source_name", "status", "value")
+    return quality.volume_anomaly(table(spark, sf_dir, "sources"), _runs(spark, sf_dir)).select(*quality.RESULT)
 
 
 def resolution_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resolution_coverage(table(spark, sf_dir, "source_docs"), table(spark, sf_dir, "links")).select("check_name", "status", "value")
+    return quality.resolution_coverage(table(spark, sf_dir, "source_docs"), table(spark, sf_dir, "links")).select(*quality.RESULT)
 
 
 def enrichment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = table(spark, sf_dir, "links").filter("sentiment IS NOT NULL")
-    return quality.enrichment_coverage(table(spark, sf_dir, "source_docs"), scored).select("check_name", "status", "value")
+    return quality.enrichment_coverage(table(spark, sf_dir, "source_docs"), scored).select(*quality.RESULT)
 
 
 def panel_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.panel_freshness(table(spark, sf_dir, "daily_panel"), table(spark, sf_dir, "links"), "2026-05-01").select("check_name", "status", "value")
+    return quality.panel_freshness(table(spark, sf_dir, "daily_panel"), table(spark, sf_dir, "links"), "2026-05-01").select(*quality.RESULT)
 
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks as rows of one log."""
     checks = (duplicate_rate, freshness, volume_anomaly, resolution_coverage, enrichment_coverage, panel_freshness)
-    rows = [f(spark, sf_dir) for f in checks]
-    out = rows[0].withColumn("source_name", F.lit(None).cast("string")) if "source_name" not in rows[0].columns else rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r, allowMissingColumns=True)
-    return out.select("check_name", "source_name", "status", "value")
+    return quality.all_checks(*[f(spark, sf_dir) for f in checks])
 
 
 def field_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +173,9 @@ def rss_first_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical documents of the feed records; dates that are neither ISO nor RFC 822 are unknown."""
     docs = raw.rss_documents(table(spark, sf_dir, "rss_raw"), 1, _at())
-    return docs.select("external_id", "title", "content_hash", "engagement")
+    return docs.select("external_id", "title", "content_hash", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "engagement")
 
 
 def hn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,12 +208,6 @@ def engagement_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published dates that are plain ISO timestamps, as UTC seconds; ``published_instants`` has every record."""
-    dates = table(spark, sf_dir, "rss_raw").filter(F.col("published_date").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$"))
-    return dates.select("record_id", F.unix_seconds(parse_utc(F.col("published_date"))).alias("epoch"))
-
-
-def published_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's published date as UTC microseconds, NULL where it is no ISO timestamp."""
     return table(spark, sf_dir, "rss_raw").select("record_id", F.unix_micros(parse_utc(F.col("published_date"))).alias("epoch_us"))
 
@@ -249,28 +241,21 @@ def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords of the first topic version's topics; ``topic_keywords_by_version`` has those of all versions."""
-    docs = table(spark, sf_dir, "source_docs").select(F.col("id").alias("document_id"), _text().alias("text"))
-    rows = table(spark, sf_dir, "topic_rows").filter("topic_id <= 40").select("document_id", "topic_id").distinct()
-    return topics.class_keywords(docs, rows).select("topic_id", "keyword", F.round("weight", 6).alias("weight"), "place")
-
-
-def topic_keywords_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of the topics of every version, each version weighed on its own."""
     docs = table(spark, sf_dir, "source_docs").select(F.col("id").alias("document_id"), _text().alias("text"))
     rows = table(spark, sf_dir, "topic_rows").select("document_id", "topic_id", "version").distinct()
     return topics.class_keywords(docs, rows, version="version").select("version", "topic_id", "keyword", F.round("weight", 6).alias("weight"), "place")
 
 
-def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A k-means topic fit on the stored vectors of each model; a model of too few documents has no row."""
+def topic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic fit on the stored vectors of each model; a model of too few documents has no row."""
     v = table(spark, sf_dir, "doc_vectors").filter("size(vector) = 384")
     latest = v.groupBy("model", "document_id").agg(F.max(F.struct("embedded_at", "vector")).alias("r")).select("model", "document_id", F.col("r.vector").cast("array<double>").alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = latest.withColumn("norm", norm).filter("norm > 0").select("model", "document_id", F.expr("transform(vector, x -> x / norm)").alias("vector"))
+    unit = cut_lineage(latest.withColumn("norm", norm).filter("norm > 0").select("model", "document_id", F.expr("transform(vector, x -> x / norm)").alias("vector")))
     out = spark.createDataFrame([], "model string, document_id long, topic_id int, probability double")
     for row in v.select("model").distinct().orderBy("model").collect():  # one row for each configured model
-        fit = topics.kmeans_fit(unit.filter(F.col("model").eqNullSafe(row["model"])).drop("model"))
+        fit = topics.centre_fit(unit.filter(F.col("model").eqNullSafe(row["model"])).drop("model"))
         if fit is not None:
             out = out.unionByName(fit.select(F.lit(row["model"]).cast("string").alias("model"), "document_id", "topic_id", "probability"))
     return out
@@ -279,8 +264,8 @@ def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     content_hash_dedup, insert_if_absent, upsert_last_wins, bars_restatement, latest_per_key, near_duplicate_classes, near_duplicates_of_documents, duplicate_rate, duplicate_rate_of_all, resolve_links,
     resolver_precision_recall, keyword_sentiment, sentiment_macro_f1, freshness, volume_anomaly, resolution_coverage, enrichment_coverage, panel_freshness, quality_report,
-    field_completeness, monthly_volume, html_clean, rss_first_of_links, rss_documents, hn_documents, bars_of_entities, unknown_tickers, engagement_values, iso_dates, published_instants,
-    recent_documents, orphans, forward_return, rank_ic, topic_keywords, topic_keywords_by_version, topic_kmeans,
+    field_completeness, monthly_volume, html_clean, rss_first_of_links, rss_documents, hn_documents, bars_of_entities, unknown_tickers, engagement_values, iso_dates,
+    recent_documents, orphans, forward_return, rank_ic, topic_keywords, topic_fit,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -315,20 +300,24 @@ _LABELS = f"""labelled AS (SELECT id AS document_id, concat_ws(chr(10), nullif(t
 _RUNS = "runs AS (SELECT source_id, CAST(ingested_at AT TIME ZONE 'UTC' AS DATE) AS day, min(ingested_at) AS started_at, max(ingested_at) AS finished_at, count(*) AS rows_fetched FROM source_docs GROUP BY ALL)"
 _T = "strftime({0} AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')"
 _NUM = "CASE WHEN json_type(engagement, '$.{0}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(engagement, '$.{0}') AS DOUBLE) ELSE 0 END"
+_NEAR_DUPLICATES = """extras AS (SELECT id FROM sets WHERE id <> class_id UNION SELECT id_b FROM pairs), linked AS (SELECT class_id AS id_a, id AS id_b FROM sets WHERE id <> class_id UNION ALL SELECT id_a, id_b FROM pairs),
+      r AS (SELECT n, (SELECT count(*) FROM extras) / CAST(n AS DOUBLE) AS rate, (SELECT coalesce(string_agg('[' || id_a || ',' || id_b || ']', ',' ORDER BY id_a, id_b), '') FROM (SELECT * FROM linked ORDER BY id_a, id_b LIMIT 10)) AS p FROM (SELECT count(*) AS n FROM {0}))
+      SELECT 'duplicate_rate' AS check_name, CAST(NULL AS VARCHAR) AS source_name, CASE WHEN rate > 0.02 THEN 'fail' WHEN rate > 0.01 THEN 'warn' ELSE 'pass' END AS status, round(rate, 6) AS value, CAST(0.02 AS DOUBLE) AS threshold, '{{"window":' || n || ',"pairs":[' || p || ']}}' AS details FROM r"""
 _CHECKS = {
-    "duplicate_rate": f"""WITH recent AS (SELECT id, title FROM source_docs ORDER BY id DESC LIMIT 1000), {_TOKENS.format('recent')}, extras AS (SELECT id FROM sets WHERE id <> class_id UNION SELECT id_b FROM pairs), r AS (SELECT (SELECT count(*) FROM extras) / CAST((SELECT count(*) FROM recent) AS DOUBLE) AS rate)
-      SELECT 'duplicate_rate' AS check_name, CASE WHEN rate > 0.02 THEN 'fail' WHEN rate > 0.01 THEN 'warn' ELSE 'pass' END AS status, round(rate, 6) AS value FROM r""",
+    "duplicate_rate": f"WITH recent AS (SELECT id, title FROM source_docs ORDER BY id DESC LIMIT 1000), {_TOKENS.format('recent')}, {_NEAR_DUPLICATES.format('recent')}",
     "freshness": f"""WITH {_RUNS}, l AS (SELECT s.name, max(r.finished_at) AS last FROM sources s LEFT JOIN runs r ON r.source_id = s.id AND r.finished_at <= TIMESTAMPTZ '{NOW}+00' GROUP BY s.id, s.name), h AS (SELECT *, (epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(last)) / 3.6e9 AS hours FROM l)
-      SELECT 'freshness' AS check_name, name AS source_name, CASE WHEN last IS NULL OR hours > 48 THEN 'fail' WHEN hours > 26 THEN 'warn' ELSE 'pass' END AS status, round(hours, 2) AS value FROM h""",
+      SELECT 'freshness' AS check_name, name AS source_name, CASE WHEN last IS NULL OR hours > 48 THEN 'fail' WHEN hours > 26 THEN 'warn' ELSE 'pass' END AS status, round(hours, 2) AS value, CAST(48 AS DOUBLE) AS threshold, CASE WHEN last IS NULL THEN '{{"reason":"no successful run recorded"}}' ELSE '{{}}' END AS details FROM h""",
     "volume_anomaly": f"""WITH {_RUNS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC) AS n FROM runs), g AS (SELECT source_id, max(rows_fetched) FILTER (n = 1) AS now_rows, avg(rows_fetched) FILTER (n > 1) AS mean, count(*) AS runs FROM ranked WHERE n <= 10 GROUP BY source_id),
       v AS (SELECT s.name, g.*, CASE WHEN mean = 0 THEN 1.0 ELSE now_rows / mean END AS ratio FROM sources s LEFT JOIN g ON g.source_id = s.id)
-      SELECT 'volume_anomaly' AS check_name, name AS source_name, CASE WHEN coalesce(runs, 0) < 3 THEN 'pass' WHEN ratio = 0 AND mean > 0 THEN 'fail' WHEN ratio < 0.5 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN runs >= 3 THEN round(ratio, 4) END AS value FROM v""",
-    "resolution_coverage": """WITH c AS (SELECT count(resolved_at) AS resolved, count(*) FILTER (id IN (SELECT document_id FROM links)) AS linked FROM source_docs)
-      SELECT 'resolution_coverage' AS check_name, CASE WHEN resolved >= 100 AND linked = 0 THEN 'warn' ELSE 'pass' END AS status, round(coalesce(linked / CAST(nullif(resolved, 0) AS DOUBLE), 0), 4) AS value FROM c""",
+      SELECT 'volume_anomaly' AS check_name, name AS source_name, CASE WHEN coalesce(runs, 0) < 3 THEN 'pass' WHEN ratio = 0 AND mean > 0 THEN 'fail' WHEN ratio < 0.5 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN runs >= 3 THEN round(ratio, 4) END AS value, CAST(0.5 AS DOUBLE) AS threshold,
+        CASE WHEN coalesce(runs, 0) < 3 THEN '{{"reason":"insufficient history","runs":' || coalesce(runs, 0) || '}}' ELSE '{{"latest":' || now_rows || ',"trailing_mean":' || round_even(mean, 2) || '}}' END AS details FROM v""",
+    "resolution_coverage": """WITH c AS (SELECT count(*) AS total, count(resolved_at) AS resolved, count(*) FILTER (id IN (SELECT document_id FROM links)) AS linked FROM source_docs)
+      SELECT 'resolution_coverage' AS check_name, CAST(NULL AS VARCHAR) AS source_name, CASE WHEN resolved >= 100 AND linked = 0 THEN 'warn' ELSE 'pass' END AS status, round(coalesce(linked / CAST(nullif(resolved, 0) AS DOUBLE), 0), 4) AS value, CAST(NULL AS DOUBLE) AS threshold, '{"total":' || total || ',"unresolved":' || (total - resolved) || ',"with_links":' || linked || '}' AS details FROM c""",
     "enrichment_coverage": """WITH c AS (SELECT count(*) AS total, count(enriched_at) AS enriched, count(*) FILTER (id IN (SELECT document_id FROM links WHERE sentiment IS NOT NULL)) AS scored FROM source_docs), v AS (SELECT *, coalesce(enriched / CAST(nullif(total, 0) AS DOUBLE), 0) AS value FROM c)
-      SELECT 'enrichment_coverage' AS check_name, CASE WHEN (enriched >= 100 AND scored = 0) OR (total >= 100 AND 1 - value > 0.5) THEN 'warn' ELSE 'pass' END AS status, round(value, 4) AS value FROM v""",
+      SELECT 'enrichment_coverage' AS check_name, CAST(NULL AS VARCHAR) AS source_name, CASE WHEN (enriched >= 100 AND scored = 0) OR (total >= 100 AND 1 - value > 0.5) THEN 'warn' ELSE 'pass' END AS status, round(value, 4) AS value, CAST(NULL AS DOUBLE) AS threshold, '{"total":' || total || ',"unenriched":' || (total - enriched) || ',"with_sentiment":' || scored || '}' AS details FROM v""",
     "panel_freshness": """WITH c AS (SELECT max(date) AS latest, (SELECT count(DISTINCT document_id) FROM links) AS linked FROM daily_panel), v AS (SELECT *, date_diff('day', latest, DATE '2026-05-01') - 1 AS lag FROM c)
-      SELECT 'panel_freshness' AS check_name, CASE WHEN latest IS NULL THEN CASE WHEN linked >= 100 THEN 'warn' ELSE 'pass' END WHEN lag >= 2 THEN 'warn' ELSE 'pass' END AS status, CAST(lag AS DOUBLE) AS value FROM v""",
+      SELECT 'panel_freshness' AS check_name, CAST(NULL AS VARCHAR) AS source_name, CASE WHEN latest IS NULL THEN CASE WHEN linked >= 100 THEN 'warn' ELSE 'pass' END WHEN lag >= 2 THEN 'warn' ELSE 'pass' END AS status, CAST(lag AS DOUBLE) AS value, CAST(2 AS DOUBLE) AS threshold,
+        CASE WHEN latest IS NULL THEN '{"reason":"no panel rows",' ELSE '{"latest_day":"' || strftime(latest, '%Y-%m-%d') || '",' END || '"linked_documents":' || linked || '}' AS details FROM v""",
 }
 _LATEST_BARS = "bars AS (SELECT entity_id, date, adj_close FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, date ORDER BY ingested_at DESC, adj_close DESC NULLS LAST) AS n FROM market_data) WHERE n = 1 AND adj_close > 0), forward AS (SELECT entity_id, date, lead(adj_close, 5) OVER (PARTITION BY entity_id ORDER BY date) / adj_close - 1 AS forward_return FROM bars)"
 
@@ -341,6 +330,19 @@ def _ic_sql() -> str:
       SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS pairs, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) END AS ic FROM rk GROUP BY date"""
 
 
+# The forms of ISO timestamps that the column holds; anything else must come out as NULL.
+_D = "published_date"
+_ISO_SQL = f"""CASE WHEN regexp_full_match({_D}, '\\d{{4}}-\\d{{2}}-\\d{{2}}(.\\d{{2}}:\\d{{2}}(:\\d{{2}}(\\.\\d+)?)?(Z|[+-]\\d{{2}}:\\d{{2}})?)?')
+    THEN TRY_CAST(substr({_D}, 1, 10) || CASE WHEN length({_D}) > 10 THEN 'T' || regexp_replace(regexp_replace(regexp_replace(substr({_D}, 12), '(\\.\\d{{6}})\\d+', '\\1'), '^(\\d{{2}}:\\d{{2}})(Z|[+-]|$)', '\\1:00\\2'), '(\\d)$', CASE WHEN regexp_matches({_D}, '[+-]\\d{{2}}:\\d{{2}}$') AND length({_D}) > 16 THEN '\\1' ELSE '\\1+00:00' END) ELSE 'T00:00:00+00:00' END AS TIMESTAMPTZ)
+    WHEN regexp_full_match({_D}, '\\d{{8}}T\\d{{6}}Z?') THEN CAST(try_strptime(substr({_D}, 1, 8) || substr({_D}, 10, 6), '%Y%m%d%H%M%S') AS TIMESTAMP) AT TIME ZONE 'UTC'
+    WHEN regexp_full_match({_D}, '\\d{{13}}') THEN try_strptime(substr({_D}, 1, 8) || substr({_D}, 10, 4), '%Y%m%d%H%M') AT TIME ZONE 'UTC' END"""
+_MAIL_RE = "'^\\s*(?:[A-Za-z]{3,9},?\\s+)?(\\d{1,2})\\s+([A-Za-z]{3})[A-Za-z]*\\s+(\\d{4})\\s+(\\d{1,2}):(\\d{2})(?::(\\d{2}))?(?:\\s+([A-Za-z]{1,5}|[+-]\\d{2}:?\\d{2}))?\\s*$'"
+_G = lambda i: f"regexp_extract({_D}, {_MAIL_RE}, {i})"
+_MAIL_SQL = f"""CASE WHEN regexp_matches({_D}, {_MAIL_RE}) THEN (try_strptime({_G(1)} || ' ' || {_G(2)} || ' ' || {_G(3)} || ' ' || {_G(4)} || ':' || {_G(5)} || ':' || coalesce(nullif({_G(6)}, ''), '0'), '%d %b %Y %H:%M:%S') - to_minutes(
+    CASE WHEN regexp_matches({_G(7)}, '^[+-]') THEN (CAST(substr(replace({_G(7)}, ':', ''), 2, 2) AS BIGINT) * 60 + CAST(substr(replace({_G(7)}, ':', ''), 4, 2) AS BIGINT)) * CASE WHEN {_G(7)}[1] = '-' THEN -1 ELSE 1 END
+    ELSE CASE lower({_G(7)}) {' '.join(f"WHEN '{z}' THEN {m}" for z, m in ZONES.items())} END END)) AT TIME ZONE 'UTC' END"""
+
+
 ORACLES = {
     "content_hash_dedup": f"SELECT * FROM (SELECT {_hash('url', 'title', 'raw_text')} AS hash, count(*) AS copies, min(id) AS first_id FROM source_docs GROUP BY 1) WHERE copies > 1",
     "insert_if_absent": "SELECT id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY id) AS n FROM source_docs) WHERE n = 1 AND content_hash NOT IN (SELECT content_hash FROM source_docs WHERE source_id = 1)",
@@ -357,31 +359,25 @@ ORACLES = {
       l AS (SELECT x AS label, count(*) FILTER (truth = x AND predicted = x) AS tp, count(*) FILTER ((truth = x) <> (predicted = x)) AS miss FROM p, unnest(['positive', 'negative', 'neutral']) u(x) GROUP BY x)
       SELECT round((SELECT avg(CAST(truth = predicted AS INTEGER)) FROM p), 6) AS accuracy, round(avg(2.0 * tp / (2 * tp + miss)), 6) AS macro_f1 FROM l WHERE tp + miss > 0""",
     **_CHECKS,
-    "duplicate_rate_of_all": f"""WITH {_TOKENS.format('source_docs')}, extras AS (SELECT id FROM sets WHERE id <> class_id UNION SELECT id_b FROM pairs), r AS (SELECT (SELECT count(*) FROM extras) / CAST((SELECT count(*) FROM source_docs) AS DOUBLE) AS rate)
-      SELECT 'duplicate_rate' AS check_name, CASE WHEN rate > 0.02 THEN 'fail' WHEN rate > 0.01 THEN 'warn' ELSE 'pass' END AS status, round(rate, 6) AS value FROM r""",
-    "quality_report": " UNION ALL ".join(f"SELECT check_name, {'source_name' if n in ('freshness', 'volume_anomaly') else 'CAST(NULL AS VARCHAR) AS source_name'}, status, value FROM ({sql})" for n, sql in _CHECKS.items()),
+    "duplicate_rate_of_all": f"WITH {_TOKENS.format('source_docs')}, {_NEAR_DUPLICATES.format('source_docs')}",
+    "quality_report": " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in _CHECKS.values()),
     "field_completeness": " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(CASE WHEN {f} IS NOT NULL AND {f} <> '' THEN 1.0 ELSE 0.0 END), 6) AS completeness FROM rss_raw" for f in ("title", "summary", "url", "published_date", "source")),
     "monthly_volume": """WITH t AS (SELECT source_id, epoch_us(ingested_at) // 1000000 AS e FROM source_docs), l AS (SELECT source_id, list_sort(list(e)) AS es FROM t GROUP BY source_id), q AS (SELECT source_id, len(es) AS n, (es[CAST(floor(0.75 * (len(es) - 1)) AS INTEGER) + 1] - es[CAST(floor(0.25 * (len(es) - 1)) AS INTEGER) + 1]) / 3600.0 AS span FROM l)
       SELECT source_id, CASE WHEN n >= 4 AND span > 0 THEN CAST(round_even(0.5 * n / span * 720, 0) AS BIGINT) END AS estimated FROM q""",
     "html_clean": f"SELECT record_id, substring(trim(regexp_replace(regexp_replace(summary, '<[^>]+>', ' ', 'g'), '{_SPACE}', ' ', 'g'), ' '), 1, 600) AS summary FROM rss_raw",
     "rss_first_of_links": "SELECT record_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY record_id) AS n FROM rss_raw) WHERE n = 1 OR url IS NULL",
-    "rss_documents": f"""SELECT url AS external_id, title, {_hash("'rss'", 'url', 'title', 'summary')} AS content_hash, '{{"feed":"' || source || '"}}' AS engagement FROM rss_raw""",
+    "rss_documents": f"""SELECT url AS external_id, title, {_hash("'rss'", 'url', 'title', 'summary')} AS content_hash, strftime(coalesce({_ISO_SQL}, {_MAIL_SQL}) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS published_at, '{{"feed":"' || source || '"}}' AS engagement FROM rss_raw""",
     "hn_documents": f"SELECT {_hash(repr('hackernews'), 'CAST(id AS VARCHAR)', 'title', 'NULL')} AS content_hash, min(CAST(id AS VARCHAR)) AS external_id, count(*) AS fetched FROM hn_raw GROUP BY 1",
     "unknown_tickers": "SELECT DISTINCT ticker FROM bars_raw WHERE ticker NOT IN (SELECT ticker FROM entities)",
     "engagement_values": f"SELECT entity_id, round(CAST(sum(CAST(CASE WHEN json_valid(engagement) AND json_type(engagement) = 'OBJECT' THEN {_NUM.format('score')} + {_NUM.format('comments')} ELSE 0 END AS DECIMAL(28,8))) AS DOUBLE), 6) AS engagement FROM links GROUP BY entity_id",
-    "iso_dates": "SELECT record_id, CAST(epoch_us(CAST(published_date AS TIMESTAMPTZ)) // 1000000 AS BIGINT) AS epoch FROM rss_raw WHERE regexp_full_match(published_date, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(Z|[+-]\\d{2}:\\d{2})')",
+    "iso_dates": f"SELECT record_id, epoch_us({_ISO_SQL}) AS epoch_us FROM rss_raw",
     "recent_documents": "SELECT id, source_id FROM source_docs ORDER BY id DESC LIMIT 1000",
     "orphans": "SELECT DISTINCT document_id, entity_id FROM links WHERE document_id NOT IN (SELECT id FROM source_docs) OR entity_id NOT IN (SELECT id FROM entities)",
     "forward_return": f"WITH {_LATEST_BARS} SELECT entity_id, strftime(date, '%Y-%m-%d') AS date, round(forward_return, 6) AS forward_return FROM forward",
     "rank_ic": _ic_sql(),
-    "topic_keywords": """WITH w AS (SELECT id AS document_id, unnest(regexp_extract_all(lower(concat_ws(chr(10), nullif(title, ''), nullif(raw_text, ''))), '[\\p{L}][\\p{L}\\p{N}_]+')) AS keyword FROM source_docs),
-      a AS (SELECT DISTINCT document_id, topic_id FROM topic_rows WHERE topic_id <= 40),
-      tf AS (SELECT topic_id, keyword, count(*) AS tf FROM w JOIN a USING (document_id) WHERE keyword NOT IN ('the', 'a', 'an', 'and', 'of', 'to', 'in', 'for', 'on', 'by', 'that', 'is', 'with') GROUP BY ALL),
-      x AS (SELECT *, tf * ln(1 + (SELECT sum(tf) / CAST(count(DISTINCT topic_id) AS DOUBLE) FROM tf) / sum(tf) OVER (PARTITION BY keyword)) AS weight FROM tf)
-      SELECT topic_id, keyword, round(weight, 6) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, keyword) AS INTEGER) AS place FROM x) WHERE place <= 10""",
-    "topic_keywords_by_version": """WITH w AS (SELECT id AS document_id, unnest(regexp_extract_all(lower(concat_ws(chr(10), nullif(title, ''), nullif(raw_text, ''))), '[\\p{L}][\\p{L}\\p{N}_]+')) AS keyword FROM source_docs),
+    "topic_keywords": f"""WITH w AS (SELECT id AS document_id, unnest(regexp_extract_all(lower(concat_ws(chr(10), nullif(title, ''), nullif(raw_text, ''))), '[\\p{{L}}][\\p{{L}}\\p{{N}}_]+')) AS keyword FROM source_docs),
       a AS (SELECT DISTINCT document_id, topic_id, version FROM topic_rows),
-      tf AS (SELECT version, topic_id, keyword, count(*) AS tf FROM w JOIN a USING (document_id) WHERE keyword NOT IN ('the', 'a', 'an', 'and', 'of', 'to', 'in', 'for', 'on', 'by', 'that', 'is', 'with') GROUP BY ALL),
+      tf AS (SELECT version, topic_id, keyword, count(*) AS tf FROM w JOIN a USING (document_id) WHERE keyword NOT IN ({', '.join(f"'{w}'" for w in topics.STOP_WORDS)}) GROUP BY ALL),
       x AS (SELECT *, tf * ln(1 + sum(tf) OVER (PARTITION BY version) / CAST(topics AS DOUBLE) / sum(tf) OVER (PARTITION BY version, keyword)) AS weight FROM tf JOIN (SELECT version, count(DISTINCT topic_id) AS topics FROM tf GROUP BY version) USING (version))
       SELECT version, topic_id, keyword, round(weight, 6) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY version, topic_id ORDER BY round(weight, 9) DESC, keyword) AS INTEGER) AS place FROM x) WHERE place <= 10""",
 }

@@ -6,6 +6,7 @@ TABLES = {
     "entities": "id int, ticker string, name string, sector string, aliases array<string>, active boolean, created_at timestamp",
     "sources": "id int, type string, name string, config_ref string, created_at timestamp",
     "documents": "id bigint, source_id int, external_id string, url string, author string, title string, raw_text string, lang string, content_hash string, published_at timestamp, ingested_at timestamp, engagement string, resolved_at timestamp, enriched_at timestamp",
+    "document_stamps": "document_id bigint, stage string, at timestamp",
     "document_entities": "document_id bigint, entity_id int, confidence double, method string, resolved_at timestamp",
     "sentiment_scores": "document_id bigint, model string, label string, score double, scored_at timestamp",
     "embeddings": "document_id bigint, model string, vector array<float>, embedded_at timestamp",

@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmurline.functions.text import content_hash, finite, parse_utc, strip_html
+from murmurline.functions.text import content_hash, feed_time, number, strip_html, whole_number
 from murmurline.schemas import RAW
 
 RSS_ITEM = "title string, description string, link string, pubDate string, updated string"
 
 
-def read_rss(spark: SparkSession, paths: list[str], target: int | None = None) -> DataFrame:
-    """Feed files as RSS records: of one link the first in feed order; items without a link all stay."""
-    frames = [spark.read.schema(RSS_ITEM).option("rowTag", "item").xml(p).withColumn("feed_no", F.lit(i)).withColumn("source", F.lit(p.rsplit("/", 1)[-1].rsplit(".", 1)[0])) for i, p in enumerate(paths)]
+def read_rss(spark: SparkSession, paths: list[str], target: int | None = None, failed: list[str] | None = None) -> DataFrame:
+    """Feed files as RSS records: of one link the first in feed order; items without a link all stay.
+
+    A date that can be read becomes ISO in UTC, the publication before the update; else the text stays.  A feed that
+    can't be read is left out and named in ``failed``; the other feeds don't notice.
+    """
+    frames = []
+    for feed_no, path in enumerate(paths):
+        try:
+            items = spark.read.schema(RSS_ITEM).option("rowTag", "item").xml(path)
+        except AnalysisException:  # the path is gone; broken items are handled by the reader itself
+            if failed is not None:
+                failed.append(path)
+            continue
+        frames.append(items.withColumns({"feed_no": F.lit(feed_no), "source": F.lit(path.rsplit("/", 1)[-1].rsplit(".", 1)[0])}))
+    if not frames:
+        return spark.createDataFrame([], RAW["rss"] + ", feed_no int")
     items = frames[0]
     for f in frames[1:]:
         items = items.unionByName(f)
-    records = items.select(F.col("title"), strip_html(F.col("description")).alias("summary"), F.col("link").alias("url"), F.coalesce("pubDate", "updated").alias("published_date"), "source", "feed_no")
+    known = F.date_format(F.coalesce(feed_time(F.col("pubDate")), feed_time(F.col("updated"))), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    records = items.select("title", strip_html(F.col("description")).alias("summary"), F.col("link").alias("url"), F.coalesce(known, "pubDate", "updated").alias("published_date"), "source", "feed_no")
     return first_of_links(records, "url", [F.col("feed_no"), F.col("title"), F.col("published_date")], target)
 
 
 def first_of_links(records: DataFrame, link: str, order: list[Column], target: int | None = None) -> DataFrame:
-    """Of each link the first record by ``order``; records without a link are all kept; ``target`` stops early."""
+    """Of each link the first record by ``order``; records without a link are all kept; ``target`` stops early.
+
+    Records without a link, however many, take no part in the shuffle by link.
+    """
     first = Window.partitionBy(link).orderBy(*order)
-    kept = records.withColumn("rn__", F.row_number().over(first)).filter(F.col(link).isNull() | (F.col("rn__") == 1)).drop("rn__")
+    named = records.filter(F.col(link).isNotNull()).withColumn("rn__", F.row_number().over(first)).filter("rn__ = 1").drop("rn__")
+    kept = named.unionByName(records.filter(F.col(link).isNull()))
     return kept if target is None else kept.orderBy(*order).limit(target)
 
 
@@ -47,9 +67,9 @@ def long_bars(wide: DataFrame, tickers: list[str], fields: tuple[str, ...] = ("o
 
     Rows without a close are left out.
     """
-    rows = [F.struct(F.lit(t).alias("ticker"), *[finite(F.col(f"`{f}|{t}`")).alias(f) if f"{f}|{t}" in wide.columns else F.lit(None).cast("double").alias(f) for f in fields]) for t in tickers]
+    rows = [F.struct(F.lit(t).alias("ticker"), *[number(F.col(f"`{f}|{t}`")).alias(f) if f"{f}|{t}" in wide.columns else F.lit(None).cast("double").alias(f) for f in fields]) for t in tickers]
     long = wide.select("date", F.inline(F.array(*rows)))
-    return long.filter("close IS NOT NULL").withColumn("volume", F.col("volume").cast("bigint"))
+    return long.filter("close IS NOT NULL").withColumn("volume", whole_number(F.col("volume")))
 
 
 def top_per_term(records: DataFrame, per_term: int = 20) -> DataFrame:
@@ -64,7 +84,7 @@ def top_per_term(records: DataFrame, per_term: int = 20) -> DataFrame:
 def rss_documents(raw: DataFrame, source_id: int, ingested_at: Column, published: Column | None = None) -> DataFrame:
     """Canonical documents of RSS records."""
     return raw.select(F.lit(source_id).alias("source_id"), F.col("url").alias("external_id"), "url", F.lit(None).cast("string").alias("author"), "title", F.col("summary").alias("raw_text"), F.lit(None).cast("string").alias("lang"),
-                      content_hash(F.lit("rss"), F.col("url"), F.col("title"), F.col("summary")).alias("content_hash"), (parse_utc(F.col("published_date")) if published is None else published).alias("published_at"), ingested_at.alias("ingested_at"), F.to_json(F.struct(F.col("source").alias("feed"))).alias("engagement"))
+                      content_hash(F.lit("rss"), F.col("url"), F.col("title"), F.col("summary")).alias("content_hash"), (feed_time(F.col("published_date")) if published is None else published).alias("published_at"), ingested_at.alias("ingested_at"), F.to_json(F.struct(F.col("source").alias("feed"))).alias("engagement"))
 
 
 def hn_documents(raw: DataFrame, source_id: int, ingested_at: Column) -> DataFrame:
@@ -76,6 +96,6 @@ def hn_documents(raw: DataFrame, source_id: int, ingested_at: Column) -> DataFra
 def bars_of_entities(raw: DataFrame, entities: DataFrame, day: Column, ingested_at: Column) -> tuple[DataFrame, DataFrame]:
     """Bars by entity id, and the tickers that no entity has (reported, never created); inactive entities count."""
     known = raw.join(entities.select("ticker", F.col("id").alias("entity_id")), "ticker")
-    numbers = [finite(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "adj_close")]
-    bars = known.select("entity_id", day.alias("date"), *numbers, F.col("volume").cast("bigint").alias("volume"), ingested_at.alias("ingested_at"))
+    numbers = [number(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "adj_close")]
+    bars = known.select("entity_id", day.alias("date"), *numbers, whole_number(F.col("volume")).alias("volume"), ingested_at.alias("ingested_at"))
     return bars, raw.join(entities.select("ticker"), "ticker", "left_anti").select("ticker").distinct()

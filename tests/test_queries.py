@@ -5,10 +5,10 @@ from pathlib import Path
 import pytest
 from compare import differences
 
-from murmurline.queries import panel, problems, store
+from murmurline.queries import panel, problems, stages, store
 
 ROOT = Path(__file__).resolve().parents[1]
-TWINS = {n: (m.QUERIES[n], sql) for m in (panel, store, problems) for n, sql in m.ORACLES.items()}
+TWINS = {n: (m.QUERIES[n], sql) for m in (panel, store, stages, problems) for n, sql in m.ORACLES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from murmurline.functions import text as T
 from murmurline.operators import enrich, near_duplicates, quality, recon, resolution, topics, upserts, validation
 from murmurline.queries import store
-from murmurline.sources import plugin, raw, sinks
+from murmurline.sources import config, plugin, raw, sinks, snapshots, versions
 from murmurline.streaming import ingest, late_counts
 
 NOW = datetime(2026, 7, 10)
@@ -50,9 +50,9 @@ def test_iso_timestamps_against_brute_force(spark):
     assert [(values[r.i], r.us, iso_micros(values[r.i])) for r in df.collect() if r.us != iso_micros(values[r.i])] == []
 
 
-def test_published_instants_has_every_record(spark, tiny):
+def test_iso_dates_have_every_record(spark, tiny):
     want = {r.record_id: iso_micros(r.published_date) for r in spark.read.parquet(f"{tiny}/rss_raw.parquet").collect()}
-    got = {r.record_id: r.epoch_us for r in store.published_instants(spark, tiny).collect()}
+    got = {r.record_id: r.epoch_us for r in store.iso_dates(spark, tiny).collect()}
     assert got == want and None in want.values() and any(us % 10**6 for us in want.values() if us)
 
 
@@ -160,21 +160,122 @@ def test_sources(spark, tmp_path):
     assert sorted(r.id for r in spark.read.format("fetched_stories").load().collect()) == [0, 1, 2]
     with pytest.raises(plugin.CredentialsMissing):
         plugin.SourceSpec("r", "reddit", lambda p, o: iter([]), credentials=("client_id",)).check({})
+    labels = tmp_path / "labels.jsonl"
+    labels.write_text('{"text": "a", "label": "positive"}\n\n{"text": "b", "label": "odd"}\n')
+    assert raw.read_labels(spark, str(labels), "text string, label string").count() == 2
+    with pytest.raises(Exception, match="unknown label"):
+        raw.read_labels(spark, str(labels), "text string, label string", "label", ("positive", "negative")).collect()
+
+
+def test_feeds_keep_their_order_dates_and_neighbours(spark, tmp_path):
+    item = lambda title, link, date, tag="pubDate": f"<item><title>{title}</title>" + (f"<link>{link}</link>" if link else "") + (f"<{tag}>{date}</{tag}>" if date else "") + "</item>"
+    for name, items in {"a": [item("A1", "u1", "Fri, 03 Jul 2026 10:00:00 -0500"), item("A2", None, "soon")], "b": [item("B1", "u1", "2026-07-03"), item("B2", "u2", "2026-07-03T10:00:00+02:00", "updated"), item("B3", None, None)]}.items():
+        (tmp_path / f"{name}.xml").write_text(f"<rss><channel>{''.join(items)}</channel></rss>")
+    failed = []
+    got = {r.title: r.published_date for r in raw.read_rss(spark, [str(tmp_path / "a.xml"), str(tmp_path / "dead.xml"), str(tmp_path / "b.xml")], failed=failed).collect()}
+    assert got == {"A1": "2026-07-03T15:00:00Z", "A2": "soon", "B2": "2026-07-03T08:00:00Z", "B3": None} and [f.rsplit("/", 1)[1] for f in failed] == ["dead.xml"]
+    assert raw.read_rss(spark, [str(tmp_path / "dead.xml")]).count() == 0
+
+
+def test_mail_dates(spark):
+    dates = {"Sun, 08 Mar 2026 06:40:14 GMT": "2026-03-08 06:40:14", "8 Mar 2026 05:04 EDT": "2026-03-08 09:04:00", "Tue, 31 Mar 2026 05:23:24 -0430": "2026-03-31 09:53:24", "1 January 2026 00:00:00 +01:00": "2025-12-31 23:00:00", "31 Feb 2026 10:00": None, "8 Mar 2026 10:00 AEDT": None, "8 Foo 2026 10:00": None, "8 Mar 2026 24:00": None, "": None, "8 Mar 2026": None}
+    got = spark.createDataFrame([(d,) for d in dates] + [(None,)], "d string").select("d", F.date_format(T.mail_time(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()
+    assert {r.d: r.t for r in got} == dates | {None: None}
+
+
+def test_numbers_keep_infinities(spark):
+    got = spark.createDataFrame([("1.5",), ("NaN",), ("Infinity",), ("x",), (None,)], "v string").select(T.number(F.col("v")).alias("n"), T.whole_number(F.col("v")).alias("w")).collect()
+    assert [(r.n, r.w) for r in got] == [(1.5, 1), (None, None), (float("inf"), None), (None, None), (None, None)]
+
+
+def test_configuration_and_files_of_fetched_stories(spark, tmp_path):
+    (tmp_path / "u.yaml").write_text("entities:\n- {ticker: AAA, name: Alpha, aliases: [Al]}\n- {ticker: BBB}\n- {name: none}\nrss:\n  feeds: [one, {url: two}]\n")
+    rows = {r.ticker: (r.name, r.aliases) for r in config.universe(spark, str(tmp_path / "u.yaml")).collect()}
+    assert rows == {"AAA": ("Alpha", ["Al"]), "BBB": (None, [])} and config.feeds(str(tmp_path / "u.yaml")) == ["one", "two"]
+    (tmp_path / "item").mkdir()
+    (tmp_path / "topstories.json").write_text("[3, 1, 2, 9]")
+    for n, body in {1: "null", 2: '{"id": 2, "title": "t", "descendants": null}', 3: '{"id": 3, "descendants": 4, "score": 5}'}.items():
+        (tmp_path / "item" / f"{n}.json").write_text(body)
+    got = list(snapshots.stories(0, {"path": str(tmp_path), "limit": 3}))
+    assert [(g and g["id"], g and g["comments"]) for g in got] == [(3, 4), (None, None), (2, 0)]
+    waits = []
+    with pytest.raises(OSError):
+        snapshots.retried(lambda: (tmp_path / "gone").read_text(), wait=waits.append)
+    assert waits == [0.5, 1.0]
+    (tmp_path / "x.json").write_text('[{"id": "a", "num_comments": 1}, {"id": "b"}, {"id": "c"}]')
+    assert [p["id"] for p in snapshots.posts(0, {"path": str(tmp_path), "subreddits": "x", "limit": 2})] == ["a", "b"]
+    with pytest.raises(plugin.CredentialsMissing):
+        snapshots.POSTS.check({})
 
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1)], "title string, n int")
-    manifest = sinks.write_bronze(rows, str(tmp_path / "lake"), "rss", "2026-07-01")
-    assert manifest["rows"] == 1 and spark.read.json(manifest["path"]).count() == 1
-    assert sinks.write_bronze(rows.limit(0), str(tmp_path / "lake"), "rss", "2026-07-01") is None
+    lake = str(tmp_path / "lake")
+    manifest = sinks.write_bronze(rows, lake, "rss", NOW)
+    assert manifest["rows"] == 1 and spark.read.json(manifest["path"]).count() == 1 and "dt=2026-07-10" in manifest["path"]
+    many = spark.createDataFrame([(f"t{i}", i) for i in range(50)], "title string, n int")
+    sums = [sinks.write_bronze(df, lake, "rss", NOW)["sha256"] for df in (many, many.repartition(5), many.withColumn("n", F.col("n") + 1))]
+    assert sums[0] == sums[1] != sums[2]
+    assert sinks.write_bronze(rows.limit(0), lake, "rss", NOW) is None and raw.read_jsonl(spark, f"{lake}/rss/*/*", "rss").count() == 151
     path = str(tmp_path / "panel")
     day = "entity_id int, date string, x int"
     sinks.overwrite_days(spark.createDataFrame([(1, "2026-07-01", 1), (1, "2026-07-02", 1)], day), path)
     sinks.overwrite_days(spark.createDataFrame([(1, "2026-07-02", 2)], day), path)
     assert sorted((str(r.date), r.x) for r in spark.read.parquet(path).collect()) == [("2026-07-01", 1), ("2026-07-02", 2)]
-    for n in (1, 2):
-        sinks.swap_table(spark, spark.createDataFrame([(n,)], "n int"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).first().n == 2
+    sinks.overwrite_days(spark.createDataFrame([(i, "2026-07-03", i) for i in range(20)], day), path, spark.createDataFrame([(99, "2026-07-03", 9), (5, "2026-07-03", 9)], day), rows_a_file=4)
+    third = {r.entity_id: r.x for r in spark.read.parquet(path).filter("date = '2026-07-03'").collect()}
+    assert third == {i: i for i in range(20)} | {99: 9}
+    sinks.sample_files(many, str(tmp_path / "s"), rows=10)
+    sinks.sample_files(many, str(tmp_path / "c"), rows=10, csv=True)
+    assert spark.read.json(str(tmp_path / "s" / "sample")).count() == 10 == spark.read.option("header", True).csv(str(tmp_path / "c" / "sample")).count()
+    assert spark.read.json(str(tmp_path / "s" / "raw")).count() == 50
+    card = recon.scorecard(spark.createDataFrame([("a", "ok", 5, 0.9, None), ("b", "error", 0, None, "no feed")], "source string, status string, records long, completeness double, note string"))
+    assert sinks.write_scorecard(card, str(tmp_path / "card")).splitlines() == ["| source | status | records | completeness | note | recommended |", "|---|---|---|---|---|---|", "| a | ok | 5 | 0.9 |  | True |", "| b | error | 0 |  | no feed | False |"]
+    assert [r.note for r in spark.read.option("header", True).csv(str(tmp_path / "card" / "csv")).orderBy("source").collect()] == [None, "no feed"]
+
+
+def test_a_write_that_stops_leaves_the_old_or_the_new_state(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    one = lambda *ns: spark.createDataFrame([(n,) for n in ns], "n int")
+    state = lambda: sorted(r.n for r in versions.read_table(spark, path, "n int").collect())
+    assert state() == []
+
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    for step in ("commit", "clean"):  # stopped before the marker, and after it
+        for old, write, new in ((1, versions.swap_table, 2), (2, versions.swap_table, 3), (3, versions.append_rows, 4)):
+            versions.swap_table(one(old), path)
+            with monkeypatch.context() as m:
+                m.setattr(versions, step, stop)
+                try:
+                    write(one(new), path)
+                except Stop:
+                    pass
+            after = [old] if step == "commit" else [new] if write is versions.swap_table else [old, new]
+            assert state() == after
+    versions.swap_table(versions.read_table(spark, path, "n int").withColumn("n", F.col("n") + 10), path)  # reads itself
+    assert state() == [13, 14]
+    for n in range(5):
+        versions.append_rows(one(n), path)
+    versions.swap_table(one(7), path)
+    assert state() == [7]
+    versions.swap_table(one(8), path)
+    assert state() == [8] and len(list((tmp_path / "t").glob("p*"))) == 2  # the state and the one before it
+
+
+def test_plain_files_become_a_versioned_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1,)], "n int").write.parquet(path)
+    state = lambda: sorted(r.n for r in versions.read_table(spark, path, "n int").collect())
+    versions.append_rows(spark.createDataFrame([(2,)], "n int"), path)
+    assert state() == [1, 2]
+    for _ in range(2):
+        versions.swap_table(versions.read_table(spark, path, "n int").withColumn("n", F.col("n") * 2), path)
+    assert state() == [4, 8] and not list((tmp_path / "t").glob("*.parquet"))
 
 
 def test_streams(spark, tmp_path):
@@ -185,7 +286,13 @@ def test_streams(spark, tmp_path):
     for round_no in range(2):  # the second run sees everything again, as after a lost checkpoint
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         late_counts.keep_registers(stream, str(tmp_path / "state"), str(tmp_path / f"c{round_no}"), columns).awaitTermination()
-    assert late_counts.current_state(spark, str(tmp_path / "state")).count() == 2
+    state = lambda: sorted(map(str, late_counts.current_state(spark, str(tmp_path / "state")).collect()))
+    before = state()
+    late_counts.compact(spark, str(tmp_path / "state"))
+    assert len(before) == 2 and state() == before and not list((tmp_path / "state" / "appended").glob("*.parquet"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    late_counts.keep_registers(stream, str(tmp_path / "state"), str(tmp_path / "c9"), columns, compact_every=1).awaitTermination()
+    assert state() == before
     docs = "content_hash string, external_id string, ingested_at timestamp"
     spark.createDataFrame([("h1", "a", NOW), ("h1", "b", NOW), ("h2", "c", NOW)], docs).repartition(2).write.parquet(str(tmp_path / "docs"))
     stream = spark.readStream.schema(docs).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "docs"))
@@ -199,16 +306,25 @@ def test_enrichment_and_topics(spark):
     assert got == {1: "positive", 2: "negative"}
     v = enrich.embed_texts(docs, enrich.hashed_embedding, "m", F.lit(NOW)).first().vector
     assert len(v) == 384 and sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
-    assert topics.kmeans_fit(spark.createDataFrame([(1, [1.0, 0.0])], "document_id long, vector array<double>")) is None
-    many = spark.createDataFrame([(i, [1.0, 0.01 * (i % 3)] if i % 2 else [0.01 * (i % 3), 1.0]) for i in range(60)], "document_id long, vector array<double>")
-    fit = {r.document_id: r.topic_id for r in topics.kmeans_fit(many, topics=2).collect()}
-    assert len(set(fit.values())) == 2 and len({fit[i] for i in range(1, 60, 2)}) == 1
+    assert topics.centre_fit(spark.createDataFrame([(1, [1.0, 0.0])], "document_id long, vector array<double>")) is None
+
+
+def test_topic_fit_finds_its_number_of_topics_and_leaves_outliers(spark):
+    rng = random.Random(1)
+    axis = lambda i: [1.0 if j == i else rng.uniform(-0.05, 0.05) for j in range(8)]
+    rows = [(i, axis(i % 3)) for i in range(120)] + [(200 + i, axis(3)) for i in range(4)]
+    norm = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    vectors = spark.createDataFrame([(i, norm(v)) for i, v in rows], "document_id long, vector array<double>")
+    got = {r.document_id: (r.topic_id, r.probability) for r in topics.centre_fit(vectors).collect()}
+    assert {t for t, _ in got.values()} == {0, 1, 2} and not any(i >= 200 for i in got)
+    assert all(len({got[i][0] for i in range(k, 120, 3)}) == 1 for k in range(3)) and all(0 < p <= 1 for _, p in got.values())
+    assert topics.merged_centres([[1.0, 0.0], [0.0, 1.0], [0.995, 0.0998], [0.1, 0.995]], 0.9) == [0, 1, 0, 1]
 
 
 def test_every_model_is_fitted(spark, tmp_path):
     rows = [(i, m, [1.0 + i % 7 if j % 8 == i % 8 else 0.01 for j in range(384)], NOW) for m, n in (("a", 80), ("b", 60), ("few", 5)) for i in range(n)]
     spark.createDataFrame(rows, "document_id long, model string, vector array<float>, embedded_at timestamp").write.parquet(str(tmp_path / "doc_vectors.parquet"))
-    got = store.topic_kmeans(spark, str(tmp_path)).collect()
+    got = store.topic_fit(spark, str(tmp_path)).collect()
     assert {m: len({r.document_id for r in got if r.model == m}) for m in {r.model for r in got}} == {"a": 80, "b": 60}
 
 
@@ -222,7 +338,7 @@ def test_keywords_of_each_version_stand_alone(spark):
 
 
 def test_keywords_query_covers_every_topic(spark, tiny):
-    got = {(r.version, r.topic_id) for r in store.topic_keywords_by_version(spark, tiny).collect()}
+    got = {(r.version, r.topic_id) for r in store.topic_keywords(spark, tiny).collect()}
     assert got == {(r.version, r.topic_id) for r in spark.read.parquet(f"{tiny}/topic_rows.parquet").collect()}
 
 
