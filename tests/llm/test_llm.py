@@ -2,10 +2,13 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime
+from pathlib import Path
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,6 +78,26 @@ def test_encoding_round_trip_and_accuracy(spark):
     assert encoding_repair.garbled_texts(df.limit(0), "id", "text").count() == 0
 
 
+def test_top_prediction_of_every_chain_on_words_left_out():
+    path = Path("/root/testdata/sf0.1/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    texts = [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
+    held = Counter(w for t in texts for w in set(encoding_repair.WORD.findall(t)) if len(w) <= 60)
+    alphabet = frozenset(c for c, n in Counter(c for t in texts for c in set(t) if ord(c) > 127).items() if n >= 3) - {encoding_repair.LOST}
+    broken = lambda w: any((y := encoding_repair.invert(r, c)) is not None and alphabet.issuperset(y) for r in encoding_repair.RUN.findall(w) for c in range(encoding_repair.CLEAN) if c not in encoding_repair.SINGLE_BYTE)
+    clean = [w for w, n in held.most_common() if n >= 3 and alphabet.issuperset(c for c in w if ord(c) > 127) and not broken(w) and not any(0x80 <= ord(c) < 0xA0 for c in w)]
+    kept, left = [w for i, w in enumerate(clean) if i % 8], clean[::8]
+    model = encoding_repair.train([[w] * 1 for w in kept for _ in range(2)], alphabet)
+    words, labels = encoding_repair.examples(left)
+    top = model.probabilities(words).argmax(axis=1)
+    for chain in range(encoding_repair.CLEAN + 1):
+        mine = np.array(labels) == chain
+        name = "clean" if chain == encoding_repair.CLEAN else encoding_repair.CHAINS[chain][0]
+        assert mine.sum() and (top[mine] == chain).mean() >= (0.98 if mine.sum() >= 50 else 0.9), (name, mine.sum(), (top[mine] == chain).mean())
+    assert (top == np.array(labels)).mean() >= 0.99
+
+
 def test_single_byte_stretches_within_clean_text():
     rng = random.Random(5)
     russian = "компания прогноз директоров спрос бумаги рынок акции выросли прибыль квартал отчёт аналитики снижение облигации".split()
