@@ -73,7 +73,7 @@ def components(value: Column, numeric: bool = False) -> Column:
     names = ("epoch",) if numeric else tuple(FORMATS)
     pattern, replacement = _alternation(names)
     listed = F.regexp_replace(value, F.lit(pattern), F.lit(replacement))
-    return F.when(listed.startswith(_MARK), F.split(F.substring(listed, 2, 400), _SEP, -1))
+    return F.when(listed.startswith(_MARK), F.split(F.substr(listed, F.lit(2)), _SEP, -1))
 
 
 def _month_map() -> Column:
@@ -106,12 +106,12 @@ def normalize_instants(df: DataFrame, keys: list[str], value: str, source: str |
     ``zones`` has one row for each source (source, zone_name, std_abbrev, dst_abbrev, day_first); it is
     a configuration table of one row per feed.  A source without a row reads as UTC with the month
     first.  ``numeric``: the value is a count of seconds or a finer unit, judged by its digits.
-    ``reference_year``: the year whose January and July give the two offsets of a zone's abbreviations.
+    ``source`` is the name of a column, or a constant.  ``reference_year``: the year whose January and July give the two offsets of a zone's abbreviations.
     Rows are never dropped; keys may repeat and other columns of ``df`` may have any name.
     """
-    src = F.col(source) if isinstance(source, str) else source
     us = 1_000_000
-    parts = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], src.alias("source"), components(F.col(value).cast("string"), numeric).alias("c"))
+    fixed = [F.col(source).alias("source")] if isinstance(source, str) else []
+    parts = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *fixed, components(F.col(value).cast("string"), numeric).alias("c"))
 
     def offset_on(day: str) -> Column:
         at = F.unix_micros(F.lit(f"{day} 12:00:00+00:00").cast("timestamp"))
@@ -120,7 +120,11 @@ def normalize_instants(df: DataFrame, keys: list[str], value: str, source: str |
     # A zone's standard offset is the smaller of those in January and July, in either hemisphere.
     halves = [offset_on(f"{reference_year}-{month}-15") for month in ("01", "07")]
     z = zones.select(F.col("source").alias("z_source"), "zone_name", F.upper("std_abbrev").alias("std"), F.upper("dst_abbrev").alias("dst"), F.least(*halves).alias("std_us"), F.greatest(*halves).alias("dst_us"), "day_first").dropDuplicates(["z_source"])
-    parts = parts.join(z, parts["source"].eqNullSafe(z["z_source"]), "left").drop("z_source")
+    if fixed:
+        parts = parts.join(z, parts["source"].eqNullSafe(z["z_source"]), "left").drop("z_source")
+    else:  # one row of the configuration for all
+        row = z.filter(F.col("z_source").eqNullSafe(source)).first()
+        parts = parts.withColumns({name: F.lit(row[name] if row else None).cast(kind) for name, kind in z.dtypes if name != "z_source"})
 
     def part(name: str) -> Column:
         return F.nullif(F.element_at("c", FIELDS.index(name) + 1), F.lit(""))

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from murmurline.session import cut_lineage
 
 MIN_DOCUMENTS = 50  # a corpus below this is not fitted
-MIN_TOPIC = 10  # documents of a topic
+MIN_TOPIC = 5  # documents of a topic
 MOST_CENTRES, MERGED_AT, LEAST_SIMILARITY = 200, 0.85, 0.2
 # Words that say nothing about a topic: a parameter of the keywords.
 STOP_WORDS = tuple(
