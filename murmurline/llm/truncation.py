@@ -3,14 +3,18 @@
 Everything is judged against the collection itself:
 
 * a *vocabulary trie*: every prefix of every known word is a node.  It is a table keyed by prefix, so it
-  grows with the vocabulary and not in one process.  A text whose last word is unknown but a node of the
-  trie (a proper prefix of known words) was cut inside a word;
-* *sentence endings*: the last words of all punctuated sentences, numbers and names made alike.  A text
-  without final punctuation whose last words never end a sentence was cut inside a sentence;
+  grows with the vocabulary and not in one process.  The last word of every text without an end is looked up; one
+  that is unknown but a node of the trie (a proper prefix of known words) was cut inside a word;
 * *length evidence*: a source whose texts pile up at one length (characters or bytes) and hardly ever
-  exceed it has a field limit there.  A text at its limit without final punctuation was cut;
+  exceed it has a field limit there.  A text at its limit without final punctuation was cut, inside a
+  word or between two;
+* *sentence endings*: the last words of all punctuated sentences, numbers and names made alike.  A text
+  without final punctuation whose last words never end a sentence was cut inside a sentence, though its
+  last word is whole and its length says nothing;
 * *marks*: ``[...]``, a replacement character, or an ellipsis at the limit or after part of a word.
 
+``evidence`` names all that a text shows, so a text cut inside a word by its limit has ``word+limit``.
+
 Defined results: NULL, empty and blank texts are no cases; a text with final punctuation is complete,
 even at the limit, unless white space at the limit shows that more followed; texts of one source that
 are equal are judged alike; a NULL source is a source of its own; an empty table gives no row.  All
@@ -32,6 +36,7 @@ STRIP = r"^[\p{P}\s\x{3}]+|[\p{P}\s\x{3}]+$"
 DOTS = r"(…|\.{3})\s*$"
 SENTENCE_GAP = rf"(?<=[.!?{BREAK}][\"”»)]{{0,2}}) "
 TAIL = "\u0004"
+TAIL_WORDS = 8  # of the end of a text; a word of any length
 OPEN = r"[,;:–—\-(\[“„«&/]$"
 
 
@@ -70,21 +75,23 @@ def _field_limits(texts: DataFrame, least: int = 3) -> DataFrame:
 def truncated_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """(key, source_id, evidence): the texts that lost their end.
 
-    ``evidence`` is ``mark``, ``byte`` (a character lost in the middle), ``limit``, ``word`` or ``sentence``.
+    ``evidence`` is one or more of ``mark``, ``byte`` (a character lost in the middle), ``word``, ``limit`` and
+    ``sentence``, joined by a plus sign.
     """
     texts = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source_id"), F.col(text).alias("text")).filter(F.length(F.trim(F.col("text"))) > 0)
     limits = _field_limits(texts)
     # Only the end travels to its source's limit: the last words, and the length of the whole text.
-    tail = F.rtrim(F.translate(F.substring("text", -400, 400), "\t\r\u00a0", "   "))
+    backwards = F.reverse(F.translate("text", "\t\r\u00a0", "   "))
+    tail = F.rtrim(F.reverse(F.regexp_extract(backwards, rf"^(\s*(?:\S+\s+){{0,{TAIL_WORDS - 1}}}\S+)", 1)))
     short = texts.select("key", "source_id", tail.alias("tail"), F.substring("text", -1, 1).rlike(r"\s").alias("blank"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     ends = short.join(limits, short["source_id"].eqNullSafe(limits["limit_source"]), "left")
     away = F.when(F.col("unit") == "chars", F.col("field_limit") - F.col("chars")).otherwise(F.col("field_limit") - F.col("bytes"))
-    ends = pinned(ends, ["key", "source_id", "unit", "marks", "tail", "blank"], {"away": away, "tip": F.regexp_replace(F.substring("tail", -120, 120), r"[\n ]+$", "")})
+    ends = pinned(ends, ["key", "source_id", "unit", "marks", "tail", "blank"], {"away": away, "tip": F.regexp_replace("tail", r"[\n ]+$", "")})
 
     mark = F.col("tip").rlike(r"(\[(\.{3}|…)\]|\((\.{3}|…)\))$")
-    lost = F.col("tip").rlike("�[\"”»)]?$")
+    lost = F.col("tip").rlike("\ufffd[\"”»)]?$")
     dots, marks = F.col("tip").rlike(DOTS), F.coalesce("marks", F.lit(False))
-    body = F.when(dots, F.regexp_replace("tail", r"[\s]{0,3}(…|\.{3})\s*$", "")).otherwise(F.col("tail"))
+    body = F.when(dots, F.regexp_replace("tail", r"[\s]{0,3}(…|\.{3})\s*$", "")).when(lost, F.regexp_replace("tail", "\ufffd+[\"”»)]?\\s*$", "")).otherwise(F.col("tail"))
     exact = ~marks & F.coalesce(F.when(F.col("unit") == "chars", F.col("away") == 0).otherwise(F.col("away").between(-2, 3)), F.lit(False))
     near = marks & F.coalesce(F.col("away").between(-2, 3), F.lit(False))
     ended = ~dots & F.col("tip").rlike(r"[.!?][\"”»)'’]*$")
@@ -93,8 +100,8 @@ def truncated_texts(df: DataFrame, key: str, source: str, text: str) -> DataFram
         F.when(mark, "mark").when(lost, "byte").when(dots & near, "mark").when(ended, F.when(exact & F.col("blank"), "limit").otherwise("complete"))
         .when(linked, "complete").when(exact, "limit")
     )
-    judged = pinned(ends, ["key", "source_id"], {"verdict": verdict, "dots": dots, "words": F.when(verdict.isNull(), _words(body)), "gaping": F.substring(body, -4, 4).rlike(OPEN)})
-    # What is left is looked up: in the trie by its last word, among sentence endings by its last words.
+    judged = pinned(ends, ["key", "source_id"], {"verdict": verdict, "dots": dots, "words": _words(body), "gaping": F.substring(body, -4, 4).rlike(OPEN)})
+    # What has no end is looked up: in the trie by its last word, among sentence endings by its last words.
     sentence = F.element_at(F.split("words", SENTENCE_GAP), -1)
     ends_left = judged.filter("verdict IS NULL OR verdict <> 'complete'")
     open_ends = cut_lineage(ends_left.select("key", "source_id", "verdict", "dots", "gaping", _bare(F.element_at(F.split("words", " "), -1)).alias("word"), _alike(F.substring_index(sentence, " ", -4)).alias("ending")))
@@ -103,19 +110,21 @@ def truncated_texts(df: DataFrame, key: str, source: str, text: str) -> DataFram
     # The trie: each prefix of a known word with the uses of all words below it; only nodes that are asked for travel on.
     known = vocabulary.filter((F.col("inside") >= 2) & (F.length("word") > 1))
     nodes = known.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("node"), "inside")
-    asked = open_ends.filter("verdict IS NULL").groupBy("word").agg(F.count_if(~F.col("dots")).alias("last"))
+    # Ends that other evidence explains say nothing about how a word ends texts by itself.
+    asked = open_ends.groupBy("word").agg(F.count_if(~F.col("dots") & F.col("verdict").isNull()).alias("last"))
     trie = nodes.groupBy("node").agg(F.sum("inside").alias("below"))
     words = asked.join(vocabulary, "word", "left").join(trie, F.col("word") == F.col("node"), "left").select("word", "last", "inside", "final", "below")
     looked = open_ends.join(words, "word", "left").join(endings, "ending", "left")
     count = lambda name: F.coalesce(F.col(name), F.lit(0))
     # Unknown: hardly ever followed by more text, and ending texts only as often as cuts through the words below it explain.
-    cut_word = (count("below") > 0) & (count("inside") < 2 + count("below") * 1e-5) & (count("last") < 2 + 0.02 * count("below"))
+    cut_word = (F.length("word") > 0) & (count("below") > 0) & (count("inside") < 2 + count("below") * 1e-5) & (count("last") < 2 + 0.02 * count("below"))
     closing = (count("final") + count("last")) / F.greatest(count("inside") + count("last"), F.lit(1))
     long_enough = (F.size(F.split("ending", " ")) >= 3) | (closing >= 0.1)
     at_home = ((count("n") >= 3) & long_enough) | (closing >= 0.3)
-    looked_up = F.when(F.length("word") == 0, F.when(F.col("gaping"), "sentence")).when(cut_word, "word").when(F.col("dots"), F.lit(None)).when(F.col("gaping") | ~at_home, "sentence")
-    evidence = F.coalesce("verdict", looked_up)
-    return looked.select("key", "source_id", evidence.alias("evidence")).filter("evidence IS NOT NULL")
+    unfinished = F.col("gaping") | ((F.length("word") > 0) & ~F.col("dots") & ~at_home)
+    alone = F.col("verdict").isNull()
+    evidence = F.concat_ws("+", F.when(F.col("verdict").isin("mark", "byte"), F.col("verdict")), F.when(cut_word, "word"), F.when(F.col("verdict") == "limit", "limit"), F.when(alone & ~cut_word & unfinished & ~(F.col("dots") & (F.length("word") > 0)), "sentence"))
+    return looked.select("key", "source_id", evidence.alias("evidence")).filter("evidence <> ''")
 
 
 def corpus_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +145,7 @@ def corpus_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_tail = F.col("raw").startswith(TAIL)
     counted = counts.filter(~is_tail).select(_bare(F.col("raw")).alias("word"), F.col("n").alias("inside"), F.when(F.col("raw").rlike(TERMINAL), F.col("n")).otherwise(0).alias("final"))
     vocabulary = counted.filter(F.length("word") > 0).groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("final").alias("final"))
-    endings = counts.filter(is_tail).select(_alike(F.substring("raw", 2, 4000)).alias("ending"), "n").groupBy("ending").agg(F.sum("n").alias("n"))
+    endings = counts.filter(is_tail).select(_alike(F.expr("substring(raw, 2)")).alias("ending"), "n").groupBy("ending").agg(F.sum("n").alias("n"))
     return vocabulary, endings
 
 

@@ -133,14 +133,18 @@ def test_truncation(spark):
     long = [t for t in sentences(600, 4) if len(t) > 90]
     rows += [(1000 + i, "capped", t[:90]) for i, t in enumerate(long[:60])] + [(1200 + i, "capped", t) for i, t in enumerate(sentences(300, 6)) if len(t) < 90]
     odd = {2000: "The board approved the ann", 2001: "The board approved the", 2002: "The board approved the annual dividend plan", 2003: "The board approved the annual dividend plan [...]", 2004: "The board approved the divid�", 2005: "One analyst questioned the freight contract lol. The regulator postponed the merg", 2006: None, 2007: "", 2008: "   ", 2009: "The board approved the annual dividend plan. Read more: https://feed.example/ab12cd"}
+    long_word = "inventory" * 200
+    odd |= {2011: f"The board approved {long_word}.", 2012: f"The regulator reviewed {long_word}.", 2013: f"One analyst questioned {long_word[:1500]}", 2014: "The board approved the annual dividend plan. " * 3000 + "The regulator postponed the merg"}
     rows += [(i, "free", t) for i, t in odd.items()] + [(2010, None, "The regulator reviewed the inv")]
     df = spark.createDataFrame(rows, "id long, source string, text string")
     got = {r.key: r.evidence for r in truncation.truncated_texts(df, "id", "source", "text").collect()}
-    assert {k for k in got if k >= 2000} == {2000, 2001, 2003, 2004, 2005, 2010}
+    assert {k: got[k] for k in got if k >= 2000} == {2000: "word", 2001: "sentence", 2003: "mark", 2004: "byte+word", 2005: "word", 2010: "word", 2013: "word", 2014: "word"}
     cut = {1000 + i for i, t in enumerate(long[:60]) if t[:90][-1] != "."}
     assert {k for k in got if 1000 <= k < 1200} == cut and not [k for k in got if k < 1000 or 1200 <= k < 2000]
+    inside = [i for i in cut if (t := dict(enumerate(long))[i - 1000])[90:91].isalpha() and t[89].isalpha()]
+    assert inside and all(got[i] in ("word+limit", "limit") for i in cut) and sum(got[i] == "word+limit" for i in inside) >= 0.9 * len(inside)
     rates = {r.source_id: r.truncated for r in truncation.truncation_rates(df, truncation.truncated_texts(df, "id", "source", "text"), "source", "text").collect()}
-    assert rates["free"] == 5 and rates[None] == 1
+    assert rates["free"] == 7 and rates[None] == 1
     assert truncation.truncated_texts(df.limit(0), "id", "source", "text").count() == 0
 
 
