@@ -11,7 +11,7 @@ one shard holds them or a round no longer joins packs (at most ``MOST_ROUNDS``).
 
 Defined results: NULL and empty texts have no tokens and take no room: they are put in no pack; equal
 texts are items of their own; NULL or non-positive capacities are left out; an empty table gives no
-row.  Repeated ids are packed as often as they occur and told apart by ``copy``.
+row.  Repeated ids, and NULL ones, are packed as often as they occur and told apart by ``copy``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from murmurline.session import cut_lineage
 SHARD_ITEMS = 20_000
 MOST_ROUNDS = 6
 FULL_ENOUGH = 0.999
-ASSIGNED = "pack_name string, capacity int, item string, tokens int, pack string"
+COPIES_AT_ONCE = 100_000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -68,7 +68,10 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_groups(items: DataFrame, shards_of: dict[str, int], round_no: int) -> DataFrame:
-    """One round: every shard of every capacity packed for itself; pack names tell round and shard."""
+    """One round: every shard of every capacity packed for itself; pack names tell round and shard.
+
+    ``items`` has pack_name, capacity, item (a text that tells items apart and orders them), tokens, and any columns to keep.
+    """
     shards = F.element_at(F.create_map(*[F.lit(x) for name, n in shards_of.items() for x in (name, n)]), F.col("pack_name"))
     placed = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(round_no)), shards).cast("int"))
 
@@ -77,11 +80,12 @@ def _pack_groups(items: DataFrame, shards_of: dict[str, int], round_no: int) ->
         pdf = pdf.assign(order=pd.util.hash_array(pdf["item"].to_numpy(object))).sort_values(["order", "item"])
         number = sum_of_squares(pdf["tokens"].to_numpy(), int(pdf["capacity"].iloc[0]))
         prefix = f"{pdf['pack_name'].iloc[0]}-{round_no}-{pdf['shard'].iloc[0]}-"
-        return pd.DataFrame({"pack_name": pdf["pack_name"], "capacity": pdf["capacity"], "item": pdf["item"], "tokens": pdf["tokens"], "pack": [f"{prefix}{n}" for n in number]})
+        return pdf.drop(columns=["order", "shard"]).assign(pack=[f"{prefix}{n}" for n in number])
 
+    schema = ", ".join(f"{name} {kind}" for name, kind in items.dtypes) + ", pack string"
     spark = items.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartition(tasks, "pack_name", "shard").groupBy("pack_name", "shard").applyInPandas(pack, ASSIGNED)
+    return placed.repartition(tasks, "pack_name", "shard").groupBy("pack_name", "shard").applyInPandas(pack, schema)
 
 
 def packed_texts(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -94,7 +98,9 @@ def packed_texts(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     numbered = sizes.filter("tokens > 0").groupBy("id", "tokens").agg(F.count(F.lit(1)).alias("times"))
     upto = F.sum("times").over(Window.partitionBy("id").orderBy("tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
     numbered = numbered.select("id", "tokens", upto.alias("upto"), F.col("times").cast("int").alias("times"))
-    numbered = cut_lineage(numbered.select("id", "tokens", F.explode(F.sequence(F.col("upto") - F.col("times") + 1, "upto")).alias("copy")))
+    # Copies are numbered in slices, so that an id of very many rows makes no long array.
+    slices = numbered.select("id", "tokens", "upto", F.explode(F.sequence(F.col("upto") - F.col("times") + 1, "upto", F.lit(COPIES_AT_ONCE))).alias("first"))
+    numbered = cut_lineage(slices.select("id", "tokens", F.explode(F.sequence("first", F.least(F.col("first") + COPIES_AT_ONCE - 1, "upto"))).alias("copy")))
     if not caps:
         return sizes.sparkSession.createDataFrame([], "pack_name string, id long, copy int, part int, tokens int, pack string")
     kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(int(c)).alias("capacity")) for n, c in sorted(caps.items())]))
@@ -102,9 +108,9 @@ def packed_texts(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     whole = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
     rest = (F.col("tokens") % F.col("capacity")).cast("int")
     parts = F.transform(F.sequence(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")).cast("int")), lambda p: F.struct(p.alias("part"), F.when(p <= whole, F.col("capacity")).otherwise(rest).cast("int").alias("size")))
-    items = each.select("pack_name", "capacity", F.inline(parts), F.concat_ws(":", F.col("id").cast("string"), F.col("copy").cast("string")).alias("text_id"))
-    items = items.select("pack_name", "capacity", F.concat_ws(":", "text_id", F.col("part").cast("string")).alias("item"), F.col("size").alias("tokens"))
-    full = items.filter("tokens = capacity").select("pack_name", "capacity", "item", "tokens", F.concat_ws("-", "pack_name", F.lit("whole"), "item").alias("pack"))
+    told = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "copy", "part")
+    items = each.select("pack_name", "capacity", "id", "copy", F.inline(parts)).select("pack_name", "capacity", "id", "copy", "part", told.alias("item"), F.col("size").alias("tokens"))
+    full = items.filter("tokens = capacity").withColumn("pack", F.concat_ws("-", "pack_name", F.lit("whole"), "item"))
     loose = items.filter("tokens < capacity")
 
     def shards_for(groups: DataFrame) -> tuple[dict[str, int], int]:
@@ -122,10 +128,9 @@ def packed_texts(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
             break  # what is left does not fit together
         before, round_no = now, round_no + 1
         merged = _pack_groups(open_packs, shards, round_no).select("pack_name", F.col("item").alias("pack"), F.col("pack").alias("new_pack"))
-        state = cut_lineage(state.join(merged, ["pack_name", "pack"], "left").select("pack_name", "capacity", "item", "tokens", F.coalesce("new_pack", "pack").alias("pack")))
-    out = state.unionByName(full)
-    key = F.split("item", ":")
-    return out.select("pack_name", key[0].cast("long").alias("id"), key[1].cast("int").alias("copy"), key[2].cast("int").alias("part"), "tokens", "pack")
+        state = cut_lineage(state.join(merged, ["pack_name", "pack"], "left").select("pack_name", "capacity", "id", "copy", "part", "tokens", F.coalesce("new_pack", "pack").alias("pack")))
+    columns = ["pack_name", "id", "copy", "part", "tokens", "pack"]
+    return state.select(*columns).unionByName(full.select(*columns))
 
 
 def pack_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:

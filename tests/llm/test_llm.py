@@ -263,7 +263,7 @@ def test_sum_of_squares_respects_capacity(sizes, capacity):
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ITEMS", 200)
     rng = random.Random(4)
-    rows = [(i, rng.randint(1, 90)) for i in range(1500)] + [(2000, 250), (2001, 200), (2002, 0), (3, 10), (3, 10)]
+    rows = [(i, rng.randint(1, 90)) for i in range(1500)] + [(2000, 250), (2001, 200), (2002, 0), (3, 10), (3, 10), (None, 7), (None, 7), (None, 120)]
     caps = spark.createDataFrame([("small", 100), ("none", 0), ("null", None)], "pack_name string, capacity_tokens int")
     out = packing.packed_texts(spark.createDataFrame(rows, "id long, tokens int"), caps).collect()
     fill, parts = {}, {}
@@ -272,7 +272,8 @@ def test_packing(spark, monkeypatch):
         parts.setdefault((r.id, r.copy), []).append(r.tokens)
     assert max(fill.values()) <= 100 and sum(fill.values()) == sum(t for _, t in rows)
     assert sorted(parts[2000, 1]) == [50, 100, 100] and parts[2001, 1] == [100, 100] and (2002, 1) not in parts
-    assert all(len(p) == 1 for (i, _), p in parts.items() if i < 2000)
+    assert all(len(p) == 1 for (i, _), p in parts.items() if i is not None and i < 2000)
+    assert sorted((c, sorted(p)) for (i, c), p in parts.items() if i is None) == [(1, [7]), (2, [7]), (3, [20, 100])]
     assert sum(fill.values()) / (100 * len(fill)) > 0.85
     assert packing.packed_texts(spark.createDataFrame([], "id long, tokens int"), caps).count() == 0
 
