@@ -22,6 +22,8 @@ AMBIGUOUS_TICKERS = (
     "WELL", "YOU",
 )
 CONFIDENCE = {"cashtag": 1.0, "ticker": 0.9, "alias": 0.8}
+#: What an evaluation must reach: the precision of the resolver, the macro-F1 of a sentiment model.
+PRECISION_GATE, MACRO_F1_GATE = 0.90, 0.70
 WORD, OUTSIDE = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]"
 
 
@@ -95,3 +97,8 @@ def macro_f1(pairs: DataFrame) -> DataFrame:
     f1 = 2.0 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("miss"), F.lit(1))
     wrong = F.sum("miss") / 2.0
     return per_label.agg(F.coalesce(F.sum("tp") / F.nullif(F.sum("tp") + wrong, F.lit(0.0)), F.lit(1.0)).alias("accuracy"), F.coalesce(F.avg(f1), F.lit(0.0)).alias("macro_f1"))
+
+
+def gated(rated: DataFrame, measure: str, least: float) -> DataFrame:
+    """Adds ``passed``: whether the measure reaches its gate."""
+    return rated.withColumn("passed", F.col(measure) >= least)

@@ -94,7 +94,7 @@ def resolver_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the resolver's pairs compare with the stored links."""
     stored = links_of(spark, sf_dir).select("document_id", "entity_id")
     rated = resolution.precision_recall(resolve_links(spark, sf_dir).select("document_id", "entity_id"), stored, ["document_id", "entity_id"])
-    return rated.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return resolution.gated(rated, "precision", resolution.PRECISION_GATE).select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "passed")
 
 
 def _text():
@@ -115,7 +115,7 @@ def sentiment_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in's labels against the signs of the stored link sentiments."""
     truth = F.when(F.col("sentiment") > 0.3, "positive").when(F.col("sentiment") < -0.3, "negative").otherwise("neutral")
     pairs = links_of(spark, sf_dir).filter("sentiment IS NOT NULL").select("document_id", truth.alias("truth")).join(keyword_sentiment(spark, sf_dir).select("document_id", F.col("label").alias("predicted")), "document_id")
-    return resolution.macro_f1(pairs).select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+    return resolution.gated(resolution.macro_f1(pairs), "macro_f1", resolution.MACRO_F1_GATE).select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "passed")
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +343,14 @@ _MAIL_SQL = f"""CASE WHEN regexp_matches({_D}, {_MAIL_RE}) THEN (try_strptime({_
     ELSE CASE lower({_G(7)}) {' '.join(f"WHEN '{z}' THEN {m}" for z, m in ZONES.items())} END END)) AT TIME ZONE 'UTC' END"""
 
 
+# The vendor's days, and its instants on the clock of its exchange.
+_BAR_FORMS = (("\\d{4}-\\d{2}-\\d{2}", "%Y-%m-%d"), ("\\d{2}/\\d{2}/\\d{4}", "%m/%d/%Y"), ("\\d{8}", "%Y%m%d"), ("\\d{1,2}-[A-Za-z]{3}-\\d{4}", "%d-%b-%Y"), ("[A-Za-z]{3} \\d{1,2}, \\d{4}", "%b %d, %Y"))
+_BAR_DAY = f"""CASE {' '.join(f"WHEN regexp_full_match(b.date, '{form}') THEN CAST(try_strptime(b.date, '{pattern}') AS DATE)" for form, pattern in _BAR_FORMS)}
+    WHEN regexp_full_match(b.date, '\\d{{4}}-\\d{{2}}-\\d{{2}}[ T]\\d{{2}}:\\d{{2}}:\\d{{2}}(Z|[+-]\\d{{2}}:\\d{{2}})') THEN CAST(TRY_CAST(b.date AS TIMESTAMPTZ) AT TIME ZONE z.zone_name AS DATE)
+    WHEN regexp_full_match(b.date, '\\d{{1,7}}|\\d{{9,11}}') THEN CAST(to_timestamp(CAST(b.date AS BIGINT)) AT TIME ZONE z.zone_name AS DATE)
+    WHEN regexp_full_match(b.date, '\\d{{12,13}}') THEN CAST(to_timestamp(CAST(b.date AS BIGINT) // 1000) AT TIME ZONE z.zone_name AS DATE) END"""
 ORACLES = {
+    "bars_of_entities": f"SELECT entity_id, strftime(day, '%Y-%m-%d') AS date, close, volume FROM (SELECT e.id AS entity_id, {_BAR_DAY} AS day, close, volume FROM bars_raw b JOIN entities e ON e.ticker = b.ticker JOIN feed_zones z ON z.source = 'yahoo' WHERE close IS NOT NULL AND NOT isnan(close)) WHERE day IS NOT NULL",
     "content_hash_dedup": f"SELECT * FROM (SELECT {_hash('url', 'title', 'raw_text')} AS hash, count(*) AS copies, min(id) AS first_id FROM source_docs GROUP BY 1) WHERE copies > 1",
     "insert_if_absent": "SELECT id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY id) AS n FROM source_docs) WHERE n = 1 AND content_hash NOT IN (SELECT content_hash FROM source_docs WHERE source_id = 1)",
     "upsert_last_wins": f"SELECT document_id, entity_id, confidence, {_T.format('ingested_at')} AS ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id, entity_id ORDER BY ingested_at DESC, confidence DESC, sentiment DESC NULLS LAST) AS n FROM links) WHERE n = 1",
@@ -353,11 +360,11 @@ ORACLES = {
     "near_duplicates_of_documents": f"WITH {_TOKENS.format('source_docs')}, ends AS (SELECT c, count(*) AS links FROM (SELECT id_a AS c FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY c) SELECT s.id, s.class_id, coalesce(e.links, 0) AS links FROM sets s LEFT JOIN ends e ON e.c = s.class_id",
     "resolve_links": f"WITH {_DICTIONARY} SELECT document_id, entity_id, CAST(confidence AS DOUBLE) AS confidence, method FROM resolved",
     "resolver_precision_recall": f"""WITH {_DICTIONARY}, s AS (SELECT DISTINCT document_id, entity_id FROM links), c AS (SELECT count(*) FILTER (r.document_id IS NOT NULL AND s.document_id IS NOT NULL) AS tp, count(*) FILTER (s.document_id IS NULL) AS fp, count(*) FILTER (r.document_id IS NULL) AS fn FROM resolved r FULL JOIN s ON s.document_id = r.document_id AND s.entity_id = r.entity_id)
-      SELECT tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM c""",
+      SELECT tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1, tp / CAST(tp + fp AS DOUBLE) >= 0.90 AS passed FROM c""",
     "keyword_sentiment": f"WITH {_LABELS} SELECT document_id, label, CAST(CASE label WHEN 'positive' THEN 0.9 WHEN 'negative' THEN 0.8 ELSE 0.6 END AS DOUBLE) AS score FROM scored",
     "sentiment_macro_f1": f"""WITH {_LABELS}, {_FIRST_LINKS}, p AS (SELECT CASE WHEN sentiment > 0.3 THEN 'positive' WHEN sentiment < -0.3 THEN 'negative' ELSE 'neutral' END AS truth, label AS predicted FROM first_links JOIN scored USING (document_id) WHERE sentiment IS NOT NULL),
       l AS (SELECT x AS label, count(*) FILTER (truth = x AND predicted = x) AS tp, count(*) FILTER ((truth = x) <> (predicted = x)) AS miss FROM p, unnest(['positive', 'negative', 'neutral']) u(x) GROUP BY x)
-      SELECT round((SELECT avg(CAST(truth = predicted AS INTEGER)) FROM p), 6) AS accuracy, round(avg(2.0 * tp / (2 * tp + miss)), 6) AS macro_f1 FROM l WHERE tp + miss > 0""",
+      SELECT round((SELECT avg(CAST(truth = predicted AS INTEGER)) FROM p), 6) AS accuracy, round(avg(2.0 * tp / (2 * tp + miss)), 6) AS macro_f1, avg(2.0 * tp / (2 * tp + miss)) >= 0.70 AS passed FROM l WHERE tp + miss > 0""",
     **_CHECKS,
     "duplicate_rate_of_all": f"WITH {_TOKENS.format('source_docs')}, {_NEAR_DUPLICATES.format('source_docs')}",
     "quality_report": " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in _CHECKS.values()),
