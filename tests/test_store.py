@@ -28,7 +28,7 @@ def test_text_helpers(spark):
 
 
 def iso_micros(value):
-    """The reference's parse_utc."""
+    """ISO timestamps by the standard library."""
     try:
         at = datetime.fromisoformat((value or "").replace("Z", "+00:00"))
     except ValueError:
