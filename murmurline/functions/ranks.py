@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from murmurline.session import cut_lineage
 
 CROWDED = 1_000_000
+COARSE = 16  # fine buckets that are ranked together
 
 
 def value_bucket(value: Column) -> Column:
@@ -45,7 +46,8 @@ def ranked_rows(long: DataFrame, group: list[str], crowded: int = CROWDED) -> Da
 
     ``long`` has the group columns, ``value``, a double that is not NULL, and any others; it is read twice.
     """
-    rows = long.withColumn("bucket", value_bucket(F.col("value")))
+    # Very small buckets would cost a window each for a row or two.
+    rows = long.withColumn("bucket", F.floor(value_bucket(F.col("value")) / COARSE))
     keys = [*group, "bucket"]
     running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
