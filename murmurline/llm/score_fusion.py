@@ -74,7 +74,8 @@ def fused_scores(df: DataFrame, group: str, item: str, scores: dict[str, float])
     for i in range(len(names)):
         none = none & (F.col(f"s{i}").isNull() | F.isnan(f"s{i}"))
     without = base.filter(none).select("group_id", "item_id", F.lit(-1).cast("byte").alias("score_no"), F.lit(None).cast("double").alias("z"))
-    met = normal.unionByName(without).groupBy("group_id", "item_id")
+    # They are brought together as they are: an item's scores come from different tasks, so aggregating before finds no two of it.
+    met = normal.unionByName(without).repartition("group_id", "item_id").groupBy("group_id", "item_id")
     wide = met.agg(*[F.max(F.when(F.col("score_no") == i, F.col("z"))).alias(f"z{i}") for i in range(len(names))])
     total, weight, used = F.lit(0.0), F.lit(0.0), F.lit(0)
     for i, n in enumerate(names):
