@@ -9,7 +9,7 @@ in both (positional filter), before the exact similarity is computed from the se
 different texts is lost, and copies are not expanded into pairs.
 
 Defined results: NULL texts and texts with fewer than ``least`` tokens take no part; repeated ids count
-once; ties in token frequency are settled by the token; an empty table gives no row.
+once, by the set of the smallest hash; ties in token frequency are settled by the token; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ from murmurline.session import cut_lineage
 
 
 def classes(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
-    """(id, class_id, tokens): texts with at least ``least`` tokens and the smallest id with the same token set."""
-    rows = df.select(F.col(key).alias("id"), F.array_sort(tokens(F.col(text))).alias("tokens")).filter(F.size("tokens") >= least).dropDuplicates(["id"])
-    hashed = rows.withColumn("set_hash", F.sha2(F.array_join("tokens", " "), 256))
-    smallest = hashed.groupBy("set_hash").agg(F.min("id").alias("class_id"))
-    return hashed.join(smallest, "set_hash").select("id", "class_id", "tokens")
+    """(id, class_id, tokens): texts with at least ``least`` tokens, the smallest id with the same token set, and the class's set beside that id."""
+    sets = df.select(F.col(key).alias("id"), F.array_sort(tokens(F.col(text))).alias("tokens")).filter(F.size("tokens") >= least)
+    hashed = sets.withColumn("set_hash", F.sha2(F.array_join("tokens", " "), 256))
+    # Kept without the sets: equal sets are told by their hash, and one of each class is enough.
+    slim = cut_lineage(hashed.groupBy("id").agg(F.min("set_hash").alias("set_hash")))
+    smallest = cut_lineage(slim.groupBy("set_hash").agg(F.min("id").alias("class_id")))
+    members = slim.join(smallest, "set_hash").select("id", "class_id")
+    of_first = hashed.join(smallest.select(F.col("class_id").alias("id"), "set_hash"), ["id", "set_hash"], "left_semi").dropDuplicates(["id"]).select("id", "tokens")
+    return members.join(of_first, "id", "left").select("id", "class_id", "tokens")
 
 
 def similar_classes(members: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -38,19 +42,26 @@ def similar_classes(members: DataFrame, threshold: float = 0.85) -> DataFrame:
     # Tokens travel as hashes; two tokens with one hash only make more candidates.
     words = reps.select("id", "n", F.explode(F.transform("tokens", lambda w: F.xxhash64(w))).alias("token"))
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = words.join(frequency, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    # Two words of 64 bits say which tokens may be there.
+    bit = F.pmod("token", F.lit(128))
+    marks = [F.bit_or(F.when((bit >= low) & (bit < low + 64), F.expr(f"shiftleft(1L, cast(pmod(token, 128) as int) - {low})")).otherwise(F.lit(0).cast("long"))).alias(name) for name, low in (("m0", 0), ("m1", 64))]
+    ordered = words.join(frequency, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), *marks)
     length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9).cast("int")
-    prefix = ordered.select("id", "n", band.alias("band"), F.posexplode(F.slice("t", F.lit(1), length)).alias("at", "p")).select("id", "n", "band", "at", F.col("p.token").alias("token"))
+    prefix = ordered.select("id", "n", "m0", "m1", band.alias("band"), F.posexplode(F.slice("t", F.lit(1), length)).alias("at", "p")).select("id", "n", "m0", "m1", "band", "at", F.col("p.token").alias("token"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "m0", "m1", "at")]
     # Sizes up to n / threshold lie in the band of n or the next; one more is for rounding at the edge.
-    small = prefix.select(F.col("id").alias("id_s"), F.col("n").alias("n_s"), F.col("at").alias("at_s"), "token", F.explode(F.sequence("band", F.col("band") + 2)).alias("band"))
-    large = prefix.select(F.col("id").alias("id_l"), F.col("n").alias("n_l"), F.col("at").alias("at_l"), "token", "band")
+    small = prefix.select(*side("s"), "token", F.explode(F.sequence("band", F.col("band") + 2)).alias("band"))
+    large = prefix.select(*side("l"), "token", "band")
     other = (F.col("n_s") < F.col("n_l")) | ((F.col("n_s") == F.col("n_l")) & (F.col("id_s") < F.col("id_l")))
     sizes = F.col("n_s") >= F.col("n_l") * threshold - 1e-9
-    shared_needed = threshold / (1 + threshold) * (F.col("n_s") + F.col("n_l")) - 1e-9
+    both = F.col("n_s") + F.col("n_l")
     # At most so many tokens can be shared before the one they meet at, and with and after it.
     reach = F.least(F.col("at_s"), F.col("at_l")) + F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
-    candidates = small.join(large, ["token", "band"]).filter(other & sizes & (reach >= shared_needed)).select(F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b")).distinct()
+    # Each bit that only one of them has stands for a token that only one of them has.
+    apart = F.bit_count(F.col("m0_s").bitwiseXOR(F.col("m0_l"))) + F.bit_count(F.col("m1_s").bitwiseXOR(F.col("m1_l")))
+    near = (reach >= threshold / (1 + threshold) * both - 1e-9) & (apart <= (1 - threshold) / (1 + threshold) * both + 1e-9)
+    candidates = small.join(large, ["token", "band"]).filter(other & sizes & near).select(F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b")).distinct()
     sets = reps.select("id", "tokens")
     met = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("tokens").alias("t_a")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("tokens").alias("t_b")), "id_b")
     shared = F.size(F.array_intersect("t_a", "t_b"))

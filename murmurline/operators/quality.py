@@ -36,7 +36,7 @@ def duplicate_rate(documents: DataFrame, key: str, title: str, scanned: int | No
     """
     recent = documents.select(F.col(key).alias("id"), F.col(title).alias("title"))
     recent = recent if scanned is None else recent.orderBy(F.col("id").desc()).limit(scanned)
-    members = classes(recent, "id", "title")
+    members = cut_lineage(classes(recent, "id", "title"))
     pairs = cut_lineage(similar_classes(members))
     extras = extra_documents(members, pairs)
     linked = members.filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b")).unionByName(pairs.select("id_a", "id_b"))

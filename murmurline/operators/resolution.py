@@ -54,9 +54,23 @@ def resolve(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     ``documents`` has id, title and raw_text.  Texts without content have no links; a phrase counts where no letter, digit or
     underscore touches it.
     """
-    longest = phrases.agg(F.coalesce(F.max("words"), F.lit(1)).alias("n")).first()["n"]
     # A word in front makes the start of the text a place like any other.
     texts = documents.select(F.col("id").alias("document_id"), F.concat(F.lit("x "), nfc(document_text(F.col("title"), F.col("raw_text"), " \n "))).alias("text")).filter(F.length("text") > 2)
+    # Phrases of up to 4, 16, 64, ... words are looked for apart, so that one long name makes no long pieces for the others.
+    size = F.greatest(F.lit(1), F.ceil(F.round(F.log(4.0, "words"), 9))).cast("int")
+    sized = phrases.withColumn("size", size)
+    sizes = {r["size"]: r["longest"] for r in sized.groupBy("size").agg(F.max("words").alias("longest")).collect()}
+    found = [_places(texts, sized.filter(F.col("size") == n).drop("size"), longest) for n, longest in sorted(sizes.items())] or [_places(texts, phrases, 1)]
+    met = found[0]
+    for more in found[1:]:
+        met = met.unionByName(more)
+    strength = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("method"))
+    best = met.groupBy("document_id", "entity_id").agg(F.max(F.struct(strength.alias("confidence"), "method")).alias("m"))
+    return best.select("document_id", "entity_id", "m.confidence", "m.method")
+
+
+def _places(texts: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """(document_id, entity_id, method): where a phrase of at most ``longest`` words stands in a text."""
     pieces = F.regexp_extract_all("text", F.lit(rf"(?=({WORD[:-1]}{OUTSIDE}+{WORD}(?:{OUTSIDE}+{WORD}){{0,{longest - 1}}}(?:{OUTSIDE}+{WORD[:-1]}?)?))"), F.lit(1))
     cut = texts.select("document_id", F.explode(pieces).alias("piece"))
     low = F.lower(F.col("piece"))
@@ -68,9 +82,7 @@ def resolve(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     same = there.substr(start, F.length("needle")) == F.col("needle")
     # The first character is part of another word, so the phrase may not follow it at once.
     free = (start > 2) & ~there.substr(start + F.length("needle"), F.lit(1)).rlike(WORD[:-1])
-    strength = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("method"))
-    best = met.filter(same & free).groupBy("document_id", "entity_id").agg(F.max(F.struct(strength.alias("confidence"), "method")).alias("m"))
-    return best.select("document_id", "entity_id", "m.confidence", "m.method")
+    return met.filter(same & free).select("document_id", "entity_id", "method")
 
 
 def ranked_matches(links: DataFrame, entities: DataFrame) -> DataFrame:

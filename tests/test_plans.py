@@ -62,8 +62,11 @@ def test_scans_read_what_is_asked_for(spark, tiny):
 
 def test_pieces_of_texts_grow_with_the_text(spark):
     """Each word travels with a few behind it and not with the whole text."""
-    entities = spark.createDataFrame([(1, "ABCD", "Alpha Beta Works", [], True)], "id int, ticker string, name string, aliases array<string>, active boolean")
+    entities = spark.createDataFrame([(1, "ABCD", "Alpha Beta Works", [], True), (2, None, "The Very Long Name Of A Company That Nobody Shortens", [], True)], "id int, ticker string, name string, aliases array<string>, active boolean")
     text = "plain words go on and on " * 2000 + "alpha  beta works" + " and end" * 1000 + " $abcd"
     docs = spark.createDataFrame([(1, None, text), (2, "Alpha Beta", "Works"), (3, "Alpha Beta Works", None), (4, "xAlpha Beta Works", "ABCDE _ABCD"), (5, "(ABCD)", None)], "id long, title string, raw_text string")
     got = {r.document_id: r.method for r in resolution.resolve(docs, resolution.dictionary(entities)).collect()}
     assert got == {1: "cashtag", 3: "alias", 5: "ticker"}
+    docs = spark.createDataFrame([(1, "We met the very long name of a company that nobody shortens, twice", None), (2, "the very long name of a company that nobody shorten", None)], "id long, title string, raw_text string")
+    assert [(r.document_id, r.entity_id) for r in resolution.resolve(docs, resolution.dictionary(entities)).collect()] == [(1, 2)]
+    assert resolution.resolve(docs, resolution.dictionary(entities.limit(0))).count() == 0
