@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Largest magnitude that is counted; the exact decimals below hold sums of such numbers.
 LARGEST = 1e20
-AMOUNT = "decimal(28,8)"
+AMOUNT = "decimal(30,8)"
 
 
 def engagement_numbers(json: Column, keys: tuple[str, ...] = ("score", "comments")) -> Column:
@@ -19,9 +17,12 @@ def engagement_numbers(json: Column, keys: tuple[str, ...] = ("score", "comments
     key), strings, booleans, NaN, infinities and magnitudes from 1e20 on count 0.
     """
     listed = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
-    whole = json.rlike(r"^\s*\{") & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    parsed = F.from_json(json, ", ".join(f"{k} double" for k in keys))
-    return F.array(*[F.when(whole & (F.abs(parsed[k]) < LARGEST), parsed[k]).otherwise(F.lit(0.0)) for k in keys])
+    one_object = lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
+    # The variables of the lambdas hold what was parsed, so that no reader of a part parses the text again.
+    whole = json.rlike(r"^\s*\{") & F.transform(F.array(listed), one_object)[0]
+    parsed = F.struct(whole.alias("whole"), F.from_json(json, ", ".join(f"{k} double" for k in keys)).alias("of"))
+    counted = lambda p: F.array(*[F.when(p["whole"] & (F.abs(p["of"][k]) < LARGEST), p["of"][k]).otherwise(F.lit(0.0)) for k in keys])
+    return F.transform(F.array(parsed), counted)[0]
 
 
 def engagement_value(json: Column, keys: tuple[str, ...] = ("score", "comments")) -> Column:
@@ -32,5 +33,4 @@ def engagement_value(json: Column, keys: tuple[str, ...] = ("score", "comments")
 
 def engagement_amount(json: Column, keys: tuple[str, ...] = ("score", "comments")) -> Column:
     """The same sum as an exact decimal, so that running sums come back to exactly 0."""
-    numbers = engagement_numbers(json, keys)
-    return reduce(lambda a, b: a + b, [F.element_at(numbers, i + 1).cast(AMOUNT) for i in range(len(keys))]).cast(AMOUNT)
+    return F.aggregate(engagement_numbers(json, keys), F.lit(0).cast(AMOUNT), lambda acc, x: (acc + x.cast(AMOUNT)).cast(AMOUNT))
