@@ -16,13 +16,17 @@ def engagement_numbers(json: Column, keys: tuple[str, ...] = ("score", "comments
     NULL, text that is not one whole JSON object (cut off, followed by anything, an array, a repeated
     key), strings, booleans, NaN, infinities and magnitudes from 1e20 on count 0.
     """
+    # In a list of its own, text behind the object is a second element or no JSON at all.
     listed = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
-    one_object = lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
-    # The variables of the lambdas hold what was parsed, so that no reader of a part parses the text again.
-    whole = json.rlike(r"^\s*\{") & F.transform(F.array(listed), one_object)[0]
-    parsed = F.struct(whole.alias("whole"), F.from_json(json, ", ".join(f"{k} double" for k in keys)).alias("of"))
-    counted = lambda p: F.array(*[F.when(p["whole"] & (F.abs(p["of"][k]) < LARGEST), p["of"][k]).otherwise(F.lit(0.0)) for k in keys])
-    return F.transform(F.array(parsed), counted)[0]
+
+    def of(parsed: Column, key: str) -> Column:
+        held = F.try_variant_get(parsed, f"$[0].{key}", "variant")
+        value = F.try_variant_get(parsed, f"$[0].{key}", "double")
+        numeric = F.schema_of_variant(held).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+        return F.when(numeric & F.try_variant_get(parsed, "$[1]", "variant").isNull() & (F.abs(value) < LARGEST), value).otherwise(F.lit(0.0))
+
+    # The variable of the lambda holds what was parsed, so that no reader of a part parses the text again.
+    return F.transform(F.array(listed), lambda parsed: F.array(*[of(parsed, k) for k in keys]))[0]
 
 
 def engagement_value(json: Column, keys: tuple[str, ...] = ("score", "comments")) -> Column:
