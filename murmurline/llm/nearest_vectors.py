@@ -202,7 +202,7 @@ def fit_indexes(units: DataFrame) -> dict[str, Index]:
         sample = units.filter(share < F.element_at(rate, F.col("group_id"))).orderBy("group_id", "id").toArrow()
         names = np.array(sample.column("group_id").to_pylist(), object)
         if len(names):
-            x = _decoded(sample.column("code").combine_chunks() if sample.num_rows else sample.column("code"))
+            x = _decoded(sample.column("code").combine_chunks())
             held = {name: x[names == name] for name in wanted}
     indexes = {}
     for name, n in totals.items():
