@@ -20,7 +20,7 @@ SENTIMENT, EMBEDDING = "keywords", "hashed"
 
 
 def core_queries() -> dict:
-    """The queries of the core by name; ``python -m murmurline.llm`` runs those of the subpackage."""
+    """The queries of the core by name; the subpackage beside it has a command of its own."""
     from murmurline.queries import panel, problems, stages, store
 
     return {n: q for m in (panel, store, stages, problems) for n, q in m.QUERIES.items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,7 @@ def build_session(master: str = "local[8]", app: str = "murmurline", shuffle_par
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if the session has it.
 
-    Only where the setting is missing (tests, one machine) a temporary folder is used.
+    Only where the setting is missing (tests, one machine) a temporary folder is used, which is deleted at the end.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
@@ -39,7 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = os.path.join(tempfile.gettempdir(), f"murmurline-checkpoints-{os.getpid()}")
-    os.makedirs(base, exist_ok=True)
+    if not os.path.isdir(base):
+        os.makedirs(base, exist_ok=True)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base
 
 
