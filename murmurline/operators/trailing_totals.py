@@ -41,9 +41,10 @@ def trailing_totals(daily: DataFrame, entities: DataFrame, first_day: str, last_
         return F.struct(*columns)
 
     active = daily.filter(F.col("day").between(start, end))
-    moves = [delta(F.col("day"), None, 1), *[delta(F.date_add("day", w), w, -1) for w in windows]]
+    # Every active entity also has a move of nothing on the first day, so that its series begins there.
+    moves = [delta(F.col("day"), None, 1), *[delta(F.date_add("day", w), w, -1) for w in windows], delta(start, 0, 0)]
     zero = [F.lit(0).cast(kind).alias(f"{name}{w}") for w in windows for name, kind in (("m", "bigint"), ("a", DECIMAL))]
-    seeds = entities.select("entity_id").union(active.select("entity_id")).distinct().select("entity_id", start.alias("day"), *zero)
+    seeds = entities.select("entity_id", start.alias("day"), *zero)
     deltas = active.select("entity_id", F.inline(F.array(*moves))).filter(F.col("day") <= end).unionByName(seeds)
     sums = [F.sum(f"{name}{w}").cast(kind).alias(f"{name}{w}") for w in windows for name, kind in (("m", "bigint"), ("a", DECIMAL))]
     changes = deltas.groupBy("entity_id", "day").agg(*sums)
