@@ -73,9 +73,10 @@ def _places(texts: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     """(document_id, entity_id, method): where a phrase of at most ``longest`` words stands in a text."""
     pieces = F.regexp_extract_all("text", F.lit(rf"(?=({WORD[:-1]}{OUTSIDE}+{WORD}(?:{OUTSIDE}+{WORD}){{0,{longest - 1}}}(?:{OUTSIDE}+{WORD[:-1]}?)?))"), F.lit(1))
     cut = texts.select("document_id", F.explode(pieces).alias("piece"))
-    low = F.lower(F.col("piece"))
-    first, second = (F.regexp_extract(low, rf"^{WORD[:-1]}{OUTSIDE}+{start}({WORD})", 1) for start in ("", rf"{WORD}{OUTSIDE}+"))
-    keyed = cut.select("document_id", "piece", F.explode(F.when(second == "", F.array(first)).otherwise(F.array(first, F.concat_ws(" ", first, second)))).alias("key"))
+    # The first two words by one match; the variable of the lambda holds them for both keys.
+    two = F.rtrim(F.regexp_replace(F.lower(F.col("piece")), rf"(?s)^{WORD[:-1]}{OUTSIDE}+({WORD})(?:{OUTSIDE}+({WORD}))?.*$", "$1 $2"))
+    keys = F.transform(F.array(two), lambda k: F.array_distinct(F.array(F.substring_index(k, " ", 1), k)))[0]
+    keyed = cut.select("document_id", "piece", F.explode(keys).alias("key"))
     met = keyed.join(phrases, "key")
     start = F.length(F.regexp_extract("piece", rf"^{WORD[:-1]}{OUTSIDE}+", 0)) + 1 - F.col("lead")
     there = F.when(F.col("cased"), F.col("piece")).otherwise(F.lower("piece"))
