@@ -1,7 +1,7 @@
 """Text that was decoded with the wrong character encoding: which records, and what they said.
 
 A multinomial (softmax) classifier over hashed byte bigrams tells, for each word with a character
-beyond ASCII, by which exact chain of encodings it was garbled, if at all.  It is trained here on
+beyond ASCII, by which exact chain of encodings it was garbled, if at all.  It is trained here on the
 words of the collection itself and on the same words garbled synthetically by every chain.  Its most
 probable class decides.  The prediction is then inverted and verified: the characters must map back to
 bytes, the bytes must decode strictly, and the result must consist of characters the collection uses;
@@ -11,8 +11,11 @@ Two rules stand beside it.  A replacement character shows lost characters by its
 decodes any bytes, so its words must also make sense by the collection's words and letter pairs, and they
 count by the stretch they stand in, whose words between and beside the named ones belong to it.
 
-The classifier is fitted on a bounded sample: the words of ``SAMPLE_DOCS`` documents (those with the
-smallest hash of their id).  Every document is classified, over its whole text.
+Nothing is fitted on a sample.  Every word of every text is counted; all words that count as clean are the
+vocabulary and, garbled by every chain, the training examples, which stay in blocks on the executors and send
+only their gradients.  The vocabulary stays a table: a text that may hold a single-byte chain fetches the counts
+of its own words.  The driver receives characters and pairs of characters, which Unicode bounds, and the weights.
+Every document is classified, over its whole text.
 
 Defined results: NULL and empty texts, and texts of ASCII only, are never garbled; a text with a
 replacement character is garbled and, as that character stood for lost bytes, not restorable; repeated
@@ -22,19 +25,23 @@ replacement characters only.  The text is restored stretch by stretch, clean wor
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 3_000_000  # of a sampled document's words, the driver receives at most these many characters in all
-WORDS_A_CLASS = 1500  # garbled examples of each chain; clean ones at most twice as many, and their capitals
+from murmurline.session import cut_lineage
+
+WORDS_A_PART = 500  # clean words whose examples one task holds
+EXAMPLES_A_BLOCK = 2048
+UNIT = 2.0**40  # gradients are added up as whole numbers of 1 / UNIT, so that their order doesn't matter
 FEATURES = 3 << 10
 LOST = "�"
 
@@ -124,30 +131,32 @@ class Bigrams:
             starts.append(total)
         self.at, self.starts = np.array(at, np.int64), np.array(starts[:-1], np.int64)
         self.value = np.sqrt(np.array(counts, np.float32))[:, None]
-        self.row = np.repeat(np.arange(len(words)), np.diff(starts))
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.add.reduceat(w[self.at] * self.value, self.starts, axis=0)
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros((len(self.starts), FEATURES), np.float32)
-        out[self.row, self.at] = self.value[:, 0]
-        return out
-
 
 def _core(word: str) -> str:
     """Without what surrounds the letters, in small letters."""
     return re.sub(r"^[\W\d_]+|[\W\d_]+$", "", word).lower()
 
 
+def _letter_pairs(vocabulary: Iterable[str]) -> Counter:
+    """How many of the words hold each pair of neighbouring characters, their edges included, as often as it stands there."""
+    pairs: Counter = Counter()
+    for w in vocabulary:
+        pairs.update(a + b for a, b in zip(f" {w}", f"{w} "))
+    return pairs
+
+
 class Model:
-    """Softmax weights, the characters the collection uses, and in how many sampled documents each of its words occurs."""
+    """Softmax weights, the characters the collection uses, the letter pairs of its words, and in how many documents each word occurs.
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, alphabet: frozenset[str], vocabulary: dict[str, int]):
-        self.weights, self.bias, self.alphabet, self.vocabulary = weights, bias, alphabet, vocabulary
-        self.pairs: Counter = Counter()
-        for w in vocabulary:
-            self.pairs.update(zip(f" {w}", f"{w} "))
+    Of the words, ``vocabulary`` need only hold those that the texts at hand ask for (``asked``).
+    """
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, alphabet: frozenset[str], pairs: Counter, vocabulary: dict[str, int]):
+        self.weights, self.bias, self.alphabet, self.pairs, self.vocabulary = weights, bias, alphabet, pairs, vocabulary
 
     def known(self, word: str) -> int:
         return self.vocabulary.get(_core(word), 0)
@@ -160,7 +169,7 @@ class Model:
         """Whether the letter pairs of ``restored``, each seen, are those of the collection's words much rather than the word's own."""
 
         def mean(w: str) -> tuple[float, int]:
-            seen = [self.pairs[p] for p in zip(f" {w}", f"{w} ")]
+            seen = [self.pairs[a + b] for a, b in zip(f" {w}", f"{w} ")]
             return float(np.mean(np.log(np.array(seen) + 0.5))), min(seen)
 
         (ours, least), (theirs, _) = mean(_core(restored)), mean(word.strip(".,;:!?()\"'").lower())
@@ -172,25 +181,70 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def _fit(x: Bigrams, y: np.ndarray, classes: int, rounds: int = 80, rate: float = 0.1, decay: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression by full-batch Adam; classes weigh the same."""
-    rows = x.dense()
+#: Features and values example by example, where each example starts, labels; then examples and values feature by
+#: feature, the features in order, where each of them starts.
+Block = tuple[np.ndarray, ...]
+
+
+def _blocks(examples: Iterable[tuple[str, int]]) -> Iterator[Block]:
+    rows = sorted(tuple(e) for e in examples)
+    for at in range(0, len(rows), EXAMPLES_A_BLOCK):
+        words, labels = zip(*rows[at : at + EXAMPLES_A_BLOCK])
+        x = Bigrams(list(words))
+        order = np.argsort(x.at, kind="stable")
+        features, first = np.unique(x.at[order], return_index=True)
+        example, value = np.repeat(np.arange(len(words)), np.diff(np.append(x.starts, len(x.at)))), x.value[:, 0]
+        yield x.at.astype(np.int16), value, x.starts, np.array(labels, np.int8), example[order].astype(np.int16), value[order], features, first
+
+
+def _slope(blocks: Iterable[Block], w: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The blocks' gradient of the loss by the weights and, in the last row, by the bias, in whole numbers of 1 / UNIT."""
+    total = np.zeros((FEATURES + 1, len(b)), np.int64)
+    for at, value, starts, label, example, again, features, first in blocks:
+        z = np.add.reduceat(w[at] * value[:, None], starts, axis=0) + b
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        g = z / z.sum(axis=1, keepdims=True)
+        g[np.arange(len(label)), label] -= 1.0
+        g *= weight[label][:, None]
+        total[features] += np.rint(np.add.reduceat(g[example] * again[:, None], first, axis=0) * UNIT).astype(np.int64)
+        total[-1] += np.rint(g.sum(axis=0) * UNIT).astype(np.int64)
+    return total
+
+
+def _fit(slope: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], held: np.ndarray, rounds: int = 80, rate: float = 0.1, decay: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression by full-batch Adam; classes weigh the same, whatever number of examples each has (``held``)."""
+    classes = len(held)
     w, b = np.zeros((FEATURES, classes), np.float32), np.zeros(classes, np.float32)
-    goal = np.eye(classes, dtype=np.float32)[y]
-    share = 1.0 / np.maximum(goal.sum(axis=0), 1.0)
-    weight = (share[y] / classes)[:, None].astype(np.float32)
+    weight = (1.0 / np.maximum(held, 1) / classes).astype(np.float32)
     m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     for t in range(1, rounds + 1):
-        z = rows @ w + b
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        g = (z / z.sum(axis=1, keepdims=True) - goal) * weight
-        for k, (p, grad) in enumerate(((w, rows.T @ g + decay * w), (b, g.sum(axis=0)))):
+        g = (slope(w, b, weight) / UNIT).astype(np.float32)
+        for k, (p, grad) in enumerate(((w, g[:-1] + decay * w), (b, g[-1]))):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad * grad
             p -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     return w, b
 
 
+def _held(blocks: Iterable[Block]) -> np.ndarray:
+    return sum((np.bincount(b[3], minlength=CLEAN + 1) for b in blocks), np.zeros(CLEAN + 1, np.int64))
+
+
+def _fit_spread(blocks: RDD) -> tuple[np.ndarray, np.ndarray]:
+    """``_fit`` over blocks that stay on the executors; a round sends the weights there and the sum of the gradients back."""
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def slope(w: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        sent = blocks.context.broadcast((w, b, weight))
+        total = blocks.mapPartitions(lambda part: [_slope(part, *sent.value)]).treeReduce(operator.add)
+        sent.destroy()
+        return total
+
+    fitted = _fit(slope, blocks.mapPartitions(lambda part: [_held(part)]).treeReduce(operator.add))
+    blocks.unpersist()
+    return fitted
+
+
 def alphabet_of(df: DataFrame, text: str, least: int = 3) -> frozenset[str]:
     """The characters beyond ASCII that at least ``least`` texts of the collection use.
 
@@ -205,38 +259,57 @@ def _script(word: str) -> str:
     return unicodedata.name(RUN.findall(word)[0][0], "?").split()[0]
 
 
-def examples(clean: list[str]) -> tuple[list[str], list[int]]:
-    """Clean words, and the same words garbled synthetically by every chain, each with the chain that undoes it.
+def _capitals(word: str) -> str | None:
+    """The word in a headline of capitals; garbled by a single-byte chain, small Cyrillic letters are capitals and the other way round."""
+    y = word.upper()
+    return y if _script(word) != "CYRILLIC" and len(y) == len(word) and y != word else None
+
+
+def _garbled(word: str, capitals: bool) -> Iterator[tuple[str, int]]:
+    """The word garbled synthetically by every chain, each with the chain that undoes it.
 
     Several chains may give the same characters; the label is then the first chain that leads back to the word, so
-    that what can't be told apart is not asked for.  ``clean`` is in order of how common the words are.
+    that what can't be told apart is not asked for.
     """
-    # The commonest words of every script in turn, so that a rare language is not crowded out.
-    scripts: dict[str, list[str]] = {}
-    for w in clean:
-        scripts.setdefault(_script(w), []).append(w)
-    turns = sorted((i, n) for n, group in enumerate(scripts.values()) for i in range(len(group)))
-    groups = list(scripts.values())
-    pool = [groups[n][i] for i, n in turns][: 2 * WORDS_A_CLASS]
-    known = set(clean)
-    # Headlines in capitals; garbled by a single-byte chain, small Cyrillic letters are capitals and the other way round.
-    capitals = sorted({w.upper() for w in pool if _script(w) != "CYRILLIC" and len(w.upper()) == len(w)} - set(pool))
-    words, labels = [*pool, *capitals], [CLEAN] * (len(pool) + len(capitals))
     for chain in range(CLEAN):
-        made = 0
-        for w in pool if _single_byte(chain) else [*pool, *capitals]:
-            y = garble(w, chain)
-            if y is None or y == w or y in known or made >= WORDS_A_CLASS:
-                continue
-            made += 1
-            if _single_byte(chain):
-                label = chain if invert(y, chain) == w else None
-            else:
-                label = next((c for c in range(CLEAN) if not _single_byte(c) and _undone(y, c) == w), None)
-            if label is not None:
-                words.append(y)
-                labels.append(label)
-    return words, labels
+        if _single_byte(chain) and capitals:
+            continue
+        y = garble(word, chain)
+        if y is None or y == word:
+            continue
+        if _single_byte(chain):
+            label = chain if invert(y, chain) == word else None
+        else:
+            label = next((c for c in range(CLEAN) if not _single_byte(c) and _undone(y, c) == word), None)
+        if label is not None:
+            yield y, label
+
+
+def examples(clean: list[str]) -> tuple[list[str], list[int]]:
+    """Clean words and their capitals, and all of them garbled, unless that is a clean word itself; each with its label."""
+    known = set(clean)
+    capitals = sorted({y for w in clean if (y := _capitals(w)) is not None} - known)
+    made = [(y, label) for words, large in ((clean, False), (capitals, True)) for w in words for y, label in _garbled(w, large) if y not in known]
+    return [*clean, *capitals, *(y for y, _ in made)], [CLEAN] * (len(clean) + len(capitals)) + [label for _, label in made]
+
+
+def spread_examples(clean: DataFrame) -> DataFrame:
+    """(word, label): ``examples`` of a table of clean words."""
+
+    def capitals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if rows := [y for w in pdf["word"] if (y := _capitals(w)) is not None]:
+                yield pd.DataFrame({"word": rows})
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if rows := [e for w, large in zip(pdf["word"], pdf["large"]) for e in _garbled(w, large)]:
+                yield pd.DataFrame(rows, columns=["word", "label"])
+
+    words = clean.select("word")
+    large = words.mapInPandas(capitals, "word string").distinct().join(words, "word", "left_anti")
+    whole = words.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True)))
+    return whole.select("word", F.lit(CLEAN).alias("label")).unionByName(whole.mapInPandas(made, "word string, label int").join(words, "word", "left_anti"))
 
 
 def _undone(word: str, chain: int) -> str:
@@ -244,42 +317,49 @@ def _undone(word: str, chain: int) -> str:
     return RUN.sub(lambda m: invert(m[0], chain) or m[0], word)
 
 
+def _suspicious(word: str, alphabet: frozenset[str]) -> bool:
+    """Whether a chain of UTF-8 can have made the word, or characters were lost."""
+    if LOST in word or any(0x80 <= ord(c) < 0xA0 for c in word):
+        return True
+    for chain in range(CLEAN):
+        if not _single_byte(chain):
+            for run in RUN.findall(word):
+                y = invert(run, chain)
+                if y is not None and alphabet.issuperset(y):
+                    return True
+    return False
+
+
+def _origins(word: str) -> list[str]:
+    """The other words that a single-byte chain can have made this one of."""
+    return sorted({_core(_undone(word, c)) for c in SINGLE_BYTE} - {_core(word), ""})
+
+
 def train(documents: list[list[str]], alphabet: frozenset[str]) -> Model | None:
-    """The model from the words beyond ASCII of sampled documents; None if there is nothing to learn from."""
+    """The model from the words beyond ASCII of documents held in memory; None if there is nothing to learn from."""
     held: Counter = Counter()
     for words in documents:
         held.update(set(words))
-
-    def suspicious(word: str) -> bool:
-        if LOST in word or any(0x80 <= ord(c) < 0xA0 for c in word):
-            return True
-        for chain in range(CLEAN):
-            if not _single_byte(chain):
-                for run in RUN.findall(word):
-                    y = invert(run, chain)
-                    if y is not None and alphabet.issuperset(y):
-                        return True
-        return False
-
-    clean = [w for w, n in sorted(held.items(), key=lambda kv: (-kv[1], kv[0])) if n >= 2 and len(w) <= 60 and not suspicious(w)]
+    clean = [w for w, n in held.items() if n >= 2 and not _suspicious(w, alphabet)]
     # A word that a single-byte chain made of one that is far commoner is not clean either.
     often: Counter = Counter()
     for w in clean:
         often[_core(w)] += held[w]
     often.pop("", None)
-    clean = [w for w in clean if all(often[_core(_undone(w, c))] <= 3 * often[_core(w)] for c in SINGLE_BYTE)]
+    clean = [w for w in clean if all(often[o] <= 3 * often[_core(w)] for o in _origins(w))]
     if not clean:
         return None
-    words, labels = examples(clean)
-    weights, bias = _fit(Bigrams(words), np.array(labels), CLEAN + 1)
+    blocks = list(_blocks(zip(*examples(clean))))
+    weights, bias = _fit(lambda *at: _slope(blocks, *at), _held(blocks))
     vocabulary: Counter = Counter()
     for w in clean:
         vocabulary[_core(w)] += held[w]
-    return Model(weights, bias, alphabet, {w: n for w, n in vocabulary.items() if w})
+    vocabulary.pop("", None)
+    return Model(weights, bias, alphabet, _letter_pairs(vocabulary), dict(vocabulary))
 
 
-def _verified(word: str, chain: int, model: Model, predicted: bool = False) -> str | None:
-    """``word`` with its garbled runs inverted, or None unless the inversion holds up; ``predicted``: the classifier names this chain."""
+def _inverted(word: str, chain: int, model: Model) -> str | None:
+    """``word`` with the runs inverted that give characters of the collection, or None if there are none."""
     changed = False
 
     def back(match: re.Match) -> str:
@@ -291,7 +371,13 @@ def _verified(word: str, chain: int, model: Model, predicted: bool = False) -> s
         return y
 
     restored = RUN.sub(back, word)
-    if not changed:
+    return restored if changed else None
+
+
+def _verified(word: str, chain: int, model: Model, predicted: bool = False) -> str | None:
+    """``word`` with its garbled runs inverted, or None unless the inversion holds up; ``predicted``: the classifier names this chain."""
+    restored = _inverted(word, chain, model)
+    if restored is None:
         return None
     if _single_byte(chain):
         # Any byte decodes here, so the word itself must make sense: one of the collection's, or letters of one script, no capitals inside.
@@ -354,27 +440,41 @@ def _agreed(use: dict[str, tuple[int, str]], model: Model) -> dict[str, tuple[in
     return agreed
 
 
-def judge(texts: list[str], model: Model | None) -> list[tuple[bool, bool, str, str]]:
-    """(garbled, restorable, chain names, restored text) of each text.
+def top_chains(found: list[list[str]], model: Model | None) -> dict[str, int]:
+    """The most probable chain of each of the texts' words that is not most probably clean."""
+    distinct = sorted({w for ws in found for w in ws if LOST not in w})
+    top: dict[str, int] = {}
+    for at in range(0, len(distinct) if model is not None else 0, 4096):
+        part = distinct[at : at + 4096]
+        top.update((w, chain) for w, chain in zip(part, model.probabilities(part).argmax(axis=1).tolist()) if chain != CLEAN)
+    return top
+
+
+def asked(found: list[list[str]], top: dict[str, int], model: Model) -> list[list[str] | None]:
+    """The words whose counts ``judge`` reads for each text; None if it reads none, as no single-byte chain can be found there."""
+    single = {w for w, chain in top.items() if chain in SINGLE_BYTE and _inverted(w, chain, model) is not None}
+    read = [set() if single.isdisjoint(ws) else {y for w in ws for y in (w, *(_inverted(w, c, model) or w for c in SINGLE_BYTE))} for ws in found]
+    return [sorted({_core(y) for y in ys} - {""}) if ys else None for ys in read]
+
+
+def judge(texts: list[str], model: Model | None, found: list[list[str]] | None = None, top: dict[str, int] | None = None) -> list[tuple[bool, bool, str, str]]:
+    """(garbled, restorable, chain names, restored text) of each text; ``found`` and ``top``: its words and ``top_chains``, if they are known.
 
     The most probable chain of each word decides; its inversion must hold up, or the word counts as clean.
     """
-    found = [WORD.findall(t) for t in texts]
-    distinct = sorted({w for ws in found for w in ws if LOST not in w})
+    found = [WORD.findall(t) for t in texts] if found is None else found
+    top = top_chains(found, model) if top is None else top
     repaired: dict[str, tuple[int, str]] = {}
     named: dict[int, set[str]] = {c: set() for c in SINGLE_BYTE}
     weak: dict[int, dict[str, str]] = {c: {} for c in SINGLE_BYTE}
-    if model is not None:
-        for at in range(0, len(distinct), 4096):
-            part = distinct[at : at + 4096]
-            for w, chain in zip(part, model.probabilities(part).argmax(axis=1).tolist()):
-                y = None if chain == CLEAN else _verified(w, chain, model, predicted=True)
-                if chain in SINGLE_BYTE:
-                    named[chain].add(w)
-                    if y is not None:
-                        weak[chain][w] = y
-                elif y is not None:
-                    repaired[w] = (chain, y)
+    for w in {w for ws in found for w in ws if w in top}:
+        chain, y = top[w], _verified(w, top[w], model, predicted=True)
+        if chain in SINGLE_BYTE:
+            named[chain].add(w)
+            if y is not None:
+                weak[chain][w] = y
+        elif y is not None:
+            repaired[w] = (chain, y)
     out = []
     for text, words in zip(texts, found):
         lost = LOST in text
@@ -391,26 +491,89 @@ def judge(texts: list[str], model: Model | None) -> list[tuple[bool, bool, str,
     return out
 
 
-def fit_on_sample(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Trains on the words beyond ASCII of at most ``sample_docs`` documents and ``SAMPLE_CHARS`` characters."""
-    each = max(SAMPLE_CHARS // max(sample_docs, 1), 1)
-    sample = df.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(key).alias("k"), F.col(text).alias("t")).orderBy(F.xxhash64("k"), "k", "t").limit(sample_docs)
-    rows = sample.select(F.slice(F.array_distinct(F.regexp_extract_all(F.col("t"), F.lit(r"([^ \t\r\n]*[^\x00-\x7F][^ \t\r\n]*)"), F.lit(1))), 1, max(each // 8, 1)).alias("w")).collect()
-    return train([[w for w in r["w"] if len(w) <= 60] for r in rows], alphabet_of(df, text))
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n): in how many texts each word beyond ASCII occurs, over all texts."""
+    words = F.array_distinct(F.filter(F.split(F.col(text), r"[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]")))
+    return df.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
 
+def clean_words(counts: DataFrame, alphabet: frozenset[str]) -> DataFrame:
+    """(word, core, n) of the words that ``train`` takes as clean."""
 
-def garbled_texts(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(w, n, _core(w), _origins(w)) for w, n in zip(pdf["word"], pdf["n"]) if not _suspicious(w, alphabet)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["word", "n", "core", "origins"])
+
+    marked = cut_lineage(counts.filter("n >= 2").mapInPandas(mark, "word string, n long, core string, origins array<string>"))
+    often = marked.filter("core <> ''").groupBy("core").agg(F.sum("n").alias("often"))
+    rivals = marked.select("word", F.explode("origins").alias("core")).join(often, "core").groupBy("word").agg(F.max("often").alias("rival"))
+    kept = marked.join(often, "core", "left").join(rivals, "word", "left").filter("coalesce(rival, 0) <= 3 * coalesce(often, 0)")
+    return cut_lineage(kept.select("word", "core", "n"))
+
+
+def fit(df: DataFrame, text: str) -> tuple[Model, DataFrame] | None:
+    """The model, without its vocabulary, and the vocabulary (core, n), both of all texts; None if there is nothing to learn from."""
+    alphabet = alphabet_of(df, text)
+    clean = clean_words(word_counts(df, text), alphabet)
+    size = clean.count()
+    if not size:
+        return None
+    vocabulary = clean.filter("core <> ''").groupBy("core").agg(F.sum("n").alias("n"))
+
+    def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame(list(_letter_pairs(pdf["core"]).items()), columns=["pair", "n"])
+
+    # One row for each pair of characters that are neighbours in a word.
+    pairs = vocabulary.select("core").mapInPandas(count_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    weights, bias = _fit_spread(spread_examples(clean).repartition(-(-size // WORDS_A_PART), "word").rdd.mapPartitions(_blocks))
+    return Model(weights, bias, alphabet, Counter({r["pair"]: r["n"] for r in pairs.collect()}), {}), vocabulary
+
+
+def garbled_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, restorable boolean, chain string, restored string): every row whose text is garbled anywhere."""
-    model = fit_on_sample(df, key, text, sample_docs)
+    fitted = fit(df, text)
+    model, vocabulary = fitted or (None, None)
     kind = dict(df.dtypes)[key]
+    found = ["key", "restorable", "chain", "restored"]
+    schema = f"key {kind}, restorable boolean, chain string, restored string"
+
+    def table(keys: np.ndarray, judged: list[tuple[bool, bool, str, str]]) -> pd.DataFrame:
+        out = pd.DataFrame(judged, columns=["garbled", *found[1:]])
+        out.insert(0, "key", keys)
+        return out
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                judged = pd.DataFrame(judge(part["t"].tolist(), model), columns=["garbled", "restorable", "chain", "restored"])
-                judged.insert(0, "key", part["k"].to_numpy())
-                yield judged.loc[judged["garbled"], ["key", "restorable", "chain", "restored"]]
+                texts = part["t"].tolist()
+                words = [WORD.findall(t) for t in texts]
+                top = top_chains(words, model)
+                asks = [None] * len(texts) if model is None else asked(words, top, model)
+                # A text that asks for counts is judged when it has them.
+                now = [i for i, a in enumerate(asks) if a is None]
+                judged = dict(zip(now, judge([texts[i] for i in now], model, [words[i] for i in now], top)))
+                out = table(part["k"].to_numpy(), [judged.get(i, (True, False, "", t)) for i, t in enumerate(texts)])
+                out["asks"] = asks
+                yield out.loc[out["garbled"], [*found, "asks"]]
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                counts = {w: n for words, ns in zip(part["words"], part["ns"]) if words is not None for w, n in zip(words, ns)}
+                out = table(part["key"].to_numpy(), judge(part["t"].tolist(), Model(model.weights, model.bias, model.alphabet, model.pairs, counts)))
+                yield out.loc[out["garbled"], found]
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7F]"))
-    return rows.mapInPandas(scan, f"key {kind}, restorable boolean, chain string, restored string")
+    scanned = rows.mapInPandas(scan, f"{schema}, asks array<string>")
+    if model is None:
+        return scanned.select(*found)
+    scanned = cut_lineage(scanned.withColumn("row", F.monotonically_increasing_id()))
+    asking = scanned.filter(F.col("asks").isNotNull()).select("row", "key", F.col("restored").alias("t"), "asks")
+    counts = asking.select("row", F.explode("asks").alias("core")).join(vocabulary, "core").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("core", "n"))).alias("held"))
+    told = asking.join(counts, "row", "left").select("key", "t", F.map_keys("held").alias("words"), F.map_values("held").alias("ns"))
+    return scanned.filter(F.col("asks").isNull()).select(*found).unionByName(told.mapInPandas(rest, schema))

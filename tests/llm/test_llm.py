@@ -118,6 +118,49 @@ def test_single_byte_stretches_within_clean_text():
     assert not any(g for g, *_ in encoding_repair.judge([" ".join(d) for d in docs] + ["КОМПАНИЯ ПРОГНОЗ РЫНОК АКЦИИ СПРОС", "dań être peña ñandú"], model))
 
 
+RUSSIAN = "компания прогноз директоров спрос бумаги рынок акции выросли прибыль квартал отчёт аналитики снижение облигации".split()
+POLISH = "wzrosła złotego osłabił się żywności cenę obniżyli importerów uderzyło również spółka ogłosiła między".split()
+
+
+def test_words_of_every_document_are_counted(spark):
+    rng = random.Random(7)
+    ids = [r.id for r in spark.range(4100).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, " ".join(rng.choice(RUSSIAN if n < 4000 else POLISH) for _ in range(12))) for n, i in enumerate(ids)]
+    chain = next(c for c, (name, _) in enumerate(encoding_repair.CHAINS) if name == "cp1250_as_cp1252")
+    # A language that only the last hundred documents by the hash of their id are written in, and one word's count.
+    last, whole = ids[-1], "wzrosła złotego żywności cenę spółka ogłosiła"
+    rows[-1] = (last, encoding_repair.garble(whole, chain))
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert [(r.key, r.chain, r.restored) for r in encoding_repair.garbled_texts(df, "id", "text").collect()] == [(last, "cp1250_as_cp1252", whole)]
+    _, vocabulary = encoding_repair.fit(df, "text")
+    held = Counter(w for _, t in rows[:-1] for w in set(t.split()) if not w.isascii())
+    assert {r.core: r.n for r in vocabulary.collect()} == held
+
+
+def test_collections_without_clean_words(spark):
+    for texts, lost in ((["� lost", "� lost", "Ã©tÃ© é"], 2), (["€ € “”"] * 4, 0), (["w³" * 500 + " é"] * 3, 0)):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+        assert encoding_repair.garbled_texts(df, "id", "text").filter("not restorable").count() == lost
+
+
+def test_fit_on_executors_is_that_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(encoding_repair, "WORDS_A_PART", 40)
+    texts = corpus(200) + ["ż" * 100 + " plain"] * 2 + [f"{a}{b}é{c}" for a in "bcdfgh" for b in "aeiou" for c in "xyz"] * 2
+    texts += [encoding_repair.garble(t, c) for c, t in enumerate(texts[: encoding_repair.CLEAN]) if encoding_repair.garble(t, c)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    alphabet = encoding_repair.alphabet_of(df, "text")
+    here = encoding_repair.train([encoding_repair.WORD.findall(t) for t in texts], alphabet)
+    clean = encoding_repair.clean_words(encoding_repair.word_counts(df, "text"), alphabet)
+    words, labels = encoding_repair.examples([r.word for r in clean.collect()])
+    assert Counter((r.word, r.label) for r in encoding_repair.spread_examples(clean).collect()) == Counter(zip(words, labels))
+    fits = [encoding_repair.fit(df.repartition(parts), "text") for parts in (1, 5)]
+    for model, vocabulary in fits:
+        assert {r.core: r.n for r in vocabulary.collect()} == here.vocabulary and "ż" * 100 in here.vocabulary
+        assert model.pairs == here.pairs and model.alphabet == here.alphabet
+        assert (model.probabilities(words).argmax(axis=1) == here.probabilities(words).argmax(axis=1)).mean() > 0.99
+    assert np.array_equal(fits[0][0].weights, fits[1][0].weights) and np.array_equal(fits[0][0].bias, fits[1][0].bias)
+
+
 @given(st.text(max_size=40), st.integers(0, encoding_repair.CLEAN - 1))
 def test_invert_undoes_garble(text, chain):
     y = encoding_repair.garble(text, chain)
